@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from .plans import corpus_queries, stats_queries  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "g01_query_collocations"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

@@ -32,14 +32,14 @@ def normalize_text(text: Column) -> Column:
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
+    def compose(s):
         import unicodedata
 
         kana = re.compile("[｡-ﾟ]+")
         return s.map(lambda x: x if x is None else kana.sub(lambda m: unicodedata.normalize("NFKC", m[0]), unicodedata.normalize("NFC", x)))
 
-    return to_full_width(compose(text))
+    compose.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return to_full_width(pandas_udf(compose, "string")(text))
 
 
 def strip_token_space(orth: Column) -> Column:

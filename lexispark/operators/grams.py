@@ -52,7 +52,7 @@ def extract_unigrams(chunks: DataFrame) -> DataFrame:
 
 def gram_view(grams: DataFrame, n: int) -> DataFrame:
     """Wide rows of the n-grams."""
-    cols = [F.col("parts")[i][f].alias(f"{f}_{i + 1}") for i in range(n) for f in ("string", "pos", "begin", "end")]
+    cols = [F.get("parts", F.lit(i))[f].alias(f"{f}_{i + 1}") for i in range(n) for f in ("string", "pos", "begin", "end")]
     return grams.where(F.col("n") == n).select("sentence_id", "source_id", "genre", *cols)
 
 
@@ -63,7 +63,7 @@ def complete_trigrams(three: DataFrame, four: DataFrame) -> DataFrame:
 
 def sort_cluster(grams: DataFrame, partitions: int | None = None) -> DataFrame:
     """Rows in (type, first string, sentence) order, for row-group skipping after a write."""
-    by = [F.col("type"), F.col("parts")[0]["string"], F.col("sentence_id")]
+    by = [F.col("type"), F.get("parts", F.lit(0))["string"], F.col("sentence_id")]
     ranged = grams.repartitionByRange(partitions, *by) if partitions else grams.repartitionByRange(*by)
     return ranged.sortWithinPartitions(*by)
 

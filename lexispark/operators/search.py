@@ -81,7 +81,7 @@ def sample_per_group(hits: DataFrame, group: Column, id_: str = "sentence_id", l
 def gram_hits(grams: DataFrame, type_: str, strings: Mapping[int, str]) -> DataFrame:
     """Distinct sentences with an n-gram of this type whose parts have the given strings (numbered from 1)."""
     n = len(type_.split("_"))
-    fits = [F.col("parts")[i - 1]["string"] == s for i, s in strings.items()]
+    fits = [F.get("parts", F.lit(i - 1))["string"] == s for i, s in strings.items()]
     return grams.where((F.col("n") == n) & (F.col("type") == type_)).where(reduce(Column.__and__, fits, F.lit(True))).select("sentence_id", "source_id", "genre").distinct()
 
 

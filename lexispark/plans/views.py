@@ -116,7 +116,7 @@ sources AS (
 pars0 AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 pars AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS par FROM (
-    SELECT *, list_filter(list_transform(regexp_extract_all(line, '[^.!?]+[.!?]*'), x -> trim(x, ' ')), x -> x <> '') AS ss FROM pars0) WHERE len(ss) > 0),
+    SELECT *, list_filter(list_transform(regexp_extract_all(line, '[^.!?]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM pars0) WHERE len(ss) > 0),
 sents0 AS (SELECT doc_id, lang, source, par, unnest(ss) AS text, generate_subscripts(ss, 1) AS j FROM pars),
 sentences AS (
   SELECT doc_id * 1000000 + n AS sentence_id, doc_id AS source_id, CAST(par AS INTEGER) AS paragraph_order_id, CAST(n AS INTEGER) AS sentence_order_id, text,
@@ -149,7 +149,7 @@ chunks AS (
          CAST(tail_begin AS INTEGER) AS tail_begin, CAST(tail_end AS INTEGER) AS tail_end, n_tokens
   FROM (SELECT *, count(*) OVER (PARTITION BY sentence_id) AS n FROM chunks0)),
 cparts AS (
-  SELECT *, list_filter([{'string': head_string, 'pos': head_pos, 'begin': head_begin, 'end': head_end}, {'string': tail_string, 'pos': tail_pos, 'begin': tail_begin, 'end': tail_end}], x -> x.string IS NOT NULL) AS parts FROM chunks),
+  SELECT *, list_filter([{'string': head_string, 'pos': head_pos, 'begin': head_begin, 'end': head_end}, {'string': tail_string, 'pos': tail_pos, 'begin': tail_begin, 'end': tail_end}], lambda x: x.string IS NOT NULL) AS parts FROM chunks),
 paths AS (
   SELECT a.sentence_id, a.source_id, a.genre, a.chunk_id,
          list_concat(list_concat(list_concat(list_concat(a.parts, coalesce(b.parts, [])), coalesce(c.parts, [])), coalesce(d.parts, [])), coalesce(f.parts, [])) AS parts
@@ -157,7 +157,7 @@ paths AS (
     LEFT JOIN cparts c ON c.sentence_id = a.sentence_id AND c.chunk_id = b.link LEFT JOIN cparts d ON d.sentence_id = a.sentence_id AND d.chunk_id = c.link
     LEFT JOIN cparts f ON f.sentence_id = a.sentence_id AND f.chunk_id = d.link),
 grams AS (
-  SELECT sentence_id, source_id, genre, chunk_id, CAST(n AS INTEGER) AS n, parts[1:n] AS parts, array_to_string(list_transform(parts[1:n], x -> x.pos), '_') AS type
+  SELECT sentence_id, source_id, genre, chunk_id, CAST(n AS INTEGER) AS n, parts[1:n] AS parts, array_to_string(list_transform(parts[1:n], lambda x: x.pos), '_') AS type
   FROM paths, unnest(range(1, 5)) AS u(n) WHERE n <= len(parts)),
 pairs AS (
   SELECT l_orderkey AS source_id, l_orderkey * 10 + l_linenumber AS sentence_id, p_brand AS string_1, p_type AS string_2, 'brand_type' AS type, [r_name, n_name] AS genre
