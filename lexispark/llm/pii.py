@@ -154,8 +154,9 @@ def detect(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with every span in ``text`` masked; null stays null. Other columns are as they were."""
     clean = docs["text"].isNull() | ~docs["text"].rlike("[0-9@]")
-    out = _mapped(docs.where(~clean), lambda t: (mask(t, find(t)),), "_masked string", *docs.columns)
-    return docs.where(clean).unionByName(out.select(*[F.col("_masked").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]))
+    packed = docs.where(~clean).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    out = _mapped(packed, lambda t: (mask(t, find(t)),), "_masked string", "_row")
+    return docs.where(clean).unionByName(out.select(*[F.col("_masked").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def _suspect(text: str) -> bool:

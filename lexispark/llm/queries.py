@@ -75,8 +75,8 @@ _BOUNDS = " AND ".join(
 OP1 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 win AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
 dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM win) WHERE n > 1),
@@ -89,7 +89,7 @@ m AS (
          CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(len(l) AS BIGINT) AS n_lines,
          CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_exclaims,
-         CAST(len(list_filter(w, x -> x IN ({_STOP}))) AS BIGINT) AS n_stop_words
+         CAST(len(list_filter(w, lambda x: x IN ({_STOP}))) AS BIGINT) AS n_stop_words
   FROM d LEFT JOIN cov USING (rid)),
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND {_BOUNDS} AS kept FROM b
