@@ -30,7 +30,7 @@ def read_sources_tsv(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_text_docs(spark: SparkSession, folder: str) -> DataFrame:
     """(path, folder, basename, text) of all .txt files below a folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     parts = F.split(path, "/")
     return raw.select(path.alias("path"), F.element_at(parts, -2).alias("folder"), F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("basename"), F.col("value").alias("text"))
@@ -50,7 +50,7 @@ def parse_header_docs(docs: DataFrame) -> DataFrame:
     return docs.where(~F.col("basename").isin("LICENSE", "README", "CHANGES")).select(
         "basename", F.get(lines, F.lit(2)).alias("title"),
         F.regexp_extract(F.element_at(lines, -1), "（([^）]+)）$", 1).alias("author"),
-        F.expr("try_cast(substring(element_at(split(text, '\n'), 2), 1, 4) AS int)").alias("year"),
+        F.substring(F.get(lines, F.lit(1)), 1, 4).try_cast("int").alias("year"),
         F.array(F.lit("livedoor"), F.lit("ニュース"), topic).alias("genre"), F.lit(True).alias("permission"),
         F.slice(lines, F.lit(4), F.greatest(F.size(lines) - 3, F.lit(0))).alias("body"),
     )
