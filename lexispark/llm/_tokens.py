@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes encoded at once, whatever the size of the batches.
-CHARS = 16_000_000
-#: Words kept by a worker, some 200 MB; all are forgotten when there are more.
-CACHE = 1_000_000
+CHARS = 8_000_000
+#: Words kept by a worker, some 100 MB; all are forgotten when there are more.
+CACHE = 500_000
 #: Ends each piece where a vocabulary marks the ends of words; texts that hold it go to the library.
 LAST = "\x7f"
 
@@ -187,6 +187,7 @@ _ENCODERS: dict[str, ByWord] = {}
 def encoder(path: str) -> ByWord:
     """One for each Python worker and file."""
     if path not in _ENCODERS:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back at once
         m = Merges(path)
         if not (m.by_byte or m.by_word):
             raise ValueError(f"{path}: neither a byte-level vocabulary nor one with word ends")

@@ -24,6 +24,8 @@ from ._tokens import encoder, ranges
 from ._text import key, new_path, unkey
 
 MAGIC, END_ID = b"DAC1", 1
+#: Rows of three numbers that are broadcast at most, some 5 MB.
+MOST_BROADCAST = 200_000
 STRETCH = 64  # bytes of bitmap for each entry of the directory
 BLOCKS = "part int, seq int, n_tokens long, block binary"
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
@@ -128,7 +130,10 @@ def read(spark, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each written part
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_base"))
     bases = sizes.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(parts, "part")
-    placed = table.join(bases.select("part", "seq", (F.col("base") + F.col("part_base")).alias("base")), ["part", "seq"]).select("base", "block")
+    bases = bases.select("part", "seq", (F.col("base") + F.col("part_base")).alias("base"))
+    # a row for each block: broadcast while that is small, so that blocks are not shuffled
+    bases = F.broadcast(bases) if bases.count() <= MOST_BROADCAST else bases
+    placed = table.join(bases, ["part", "seq"]).select("base", "block")
 
     def docs(frames):
         for batch in frames:
