@@ -7,7 +7,8 @@ are unique within a text, so the alignment is a longest increasing subsequence o
 of n1 + n2 - 2M insertions and deletions that the threshold allows can belong to it.
 
 Equal texts are one node throughout. In a bucket, members are first aligned with one centre, then classes are joined, and only
-members that are not yet in the centre's class are aligned with members of other classes; buckets of one class cost no pairs.
+members that are not yet in the centre's class are aligned with members of other classes; buckets of one class cost no pairs. Of those, a pair is tried only if both
+texts share enough shingles with any others of the open buckets to reach the threshold, which rules out no link.
 
 Defined results: null texts are in classes of their own and have no links; texts without words are linked to equal texts only;
 null ids come first; repeated rows are equal texts. Tables may be empty.
@@ -146,6 +147,25 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "a binary, b binary")
 
 
+def shared(texts: DataFrame) -> DataFrame:
+    """(node, most): how many of a text's labelled shingles occur in another of these texts, which is the most that any alignment
+    between them can match. texts: (node, text)."""
+
+    def work(frames):
+        for batch in frames:
+            for lo, hi in ranges(batch.column(1), CHARS):
+                s, at = shingles(batch.column(1).slice(lo, hi - lo))
+                owner = np.repeat(np.arange(hi - lo), np.diff(at))
+                nodes = batch.column(0).slice(lo, hi - lo).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(s.view(np.int64))], ["node", "shingle"])
+
+    rows = texts.select("node", "text").mapInArrow(work, "node binary, shingle long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
+    lone = once.groupBy("node").agg(F.count("*").alias("lone"))
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n"))
+    return sizes.join(lone, "node", "left").select("node", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("most"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's connected part, by spreading minima and jumping."""
     edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -182,9 +202,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             # all of the others' classes, for members outside the largest class of a bucket
             sizes = open_.groupBy("bucket", "root").agg(F.count("*").alias("size"))
             largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-            few = open_.join(largest, "bucket").where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), "main")
-            pairs = few.join(open_.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny")), "bucket")
-            pairs = pairs.where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))))
+            able = open_.join(shared(texts.join(open_.select("node").distinct(), "node", "left_semi")), "node")
+            able = stored(able.where(F.col("most") >= SIMILARITY * F.col("n") - 1e-9), "able")
+            few = able.join(largest, "bucket").where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("most").alias("mx"), "main")
+            pairs = few.join(able.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("most").alias("my")), "bucket")
+            need = SIMILARITY / (1 + SIMILARITY) * (F.col("nx") + F.col("ny")) - 1e-9
+            pairs = pairs.where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.least("mx", "my") >= need))
         pairs = pairs.where(F.least("nx", "ny") >= SIMILARITY * F.greatest("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
