@@ -26,7 +26,7 @@ from ._text import stored
 
 SIZE, END_ID = 1024, 2
 #: Rows of one length that are ranked in one group.
-ROWS_A_SALT = 50_000
+ROWS_A_SALT, LEAST_SALTS = 50_000, 32
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -136,7 +136,7 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
     known = stored(cut.withColumn("_salt", (F.rand(7) * 2**40).cast("long")), "pieces")
     total = known.groupBy("length").count()
     per_length = {r["length"]: r["count"] for r in total.collect()}  # at most `size` rows
-    salts = max(1, -(-sum(per_length.values()) // ROWS_A_SALT))
+    salts = max(LEAST_SALTS, -(-sum(per_length.values()) // ROWS_A_SALT))
     known = known.withColumn("_salt", F.pmod("_salt", F.lit(salts)))
     # ranks from 0 within a length: within a salt, plus the rows of the salts before
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
