@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes encoded at once, whatever the size of the batches.
-CHARS = 8_000_000
-#: Words kept by a worker, some 100 MB; all are forgotten when there are more.
-CACHE = 500_000
+CHARS = 12_000_000
+#: Words kept by a worker, some 160 MB; all are forgotten when there are more.
+CACHE = 800_000
 #: Ends each piece where a vocabulary marks the ends of words; texts that hold it go to the library.
 LAST = "\x7f"
 
