@@ -25,6 +25,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-"
 FOLDED = "~"
 MIN_SHARE = 20_000
 STRENGTH = 4.0
+URLS_A_TASK = 20_000
 
 
 class UrlRule(NamedTuple):
@@ -115,7 +116,10 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url: str = "url",
     rows = rows.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     judged = rows.select(*keep, "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.allow").alias("good"), "folded")
     model = stored(train(judged.where(F.col("good").isNotNull()).select("folded", "good")), "urlmodel")
-    scored = stored(score(judged.select("folded").where("folded <> ''").distinct(), model), "urlscores")
+    different = stored(judged.select("folded").where("folded <> ''").distinct(), "urls")
+    # few bytes that become many rows: spread by rows, where Spark would gather them by bytes
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-different.count() // URLS_A_TASK))
+    scored = stored(score(different.repartition(tasks), model), "urlscores")
     all_rows = judged.join(scored, "folded", "left").withColumn("one", F.lit(1))
     cut = calibrate(all_rows.select("good", "ratio"))
     verdict = F.when(F.coalesce(F.col("good"), F.col("host") == "", F.lit(False)), "allow").when(F.col("good").isNotNull(), "block")
