@@ -1,7 +1,7 @@
 """URL filters: host and path rules, then a character language-model ratio, in built-in functions only.
 
 Two variable-order Markov models, of accepted and of rejected URLs, give each character a probability from the longest
-context that was seen often enough, backing off by interpolation to shorter ones. A URL that no rule decides is judged by the
+context (up to ORDER characters) that was seen, interpolated with shorter ones. A URL that no rule decides is judged by the
 difference of the two log-likelihoods divided by its length, against a cut calibrated on the ruled URLs. Training counts every ruled URL.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule, and is allowed; so is every undecided URL when
@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 from ._text import stored
 
 ORDER = 3
-#: Characters outside are folded into one, so a model of order 3 has at most 39**4 = 2,313,441 rows; contexts that hold less than
-#: one in MIN_SHARE of the training characters are left out, which leaves at most ORDER * MIN_SHARE * 39 rows = 2.4 million.
+#: Characters outside are folded into one. With the start mark that makes 40**3 + 2 * 40**2 + 3 * 40 + 4 = 67,324 contexts of up to 3
+#: characters, of 40 next characters at most: what is broadcast has a bound without leaving out any context that was seen.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-"
 FOLDED = "~"
-MIN_SHARE = 20_000
 STRENGTH = 4.0
 URLS_A_TASK = 20_000
 
@@ -71,19 +70,16 @@ def fold(url: Column) -> Column:
 
 
 def train(labelled: DataFrame) -> DataFrame:
-    """Of rows (folded, good boolean): for each context that was seen often enough (length, context, good_c, bad_c) and the
+    """Of rows (folded, good boolean): for each context that was seen (length, context, good_c, bad_c) and the
     counts of the characters that follow it, ``next`` map<string, struct<good, bad>>."""
     grams = _grams(labelled, "good").groupBy("gram", "good").agg(F.count("*").alias("n"))
     every = grams.select(F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("length"), "gram", "good", "n")
     every = every.groupBy("length", F.left(F.right("gram", F.col("length") + 1), F.col("length")).alias("context"), F.right("gram", F.lit(1)).alias("char")).agg(
         F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(~F.col("good"), F.col("n")).otherwise(0)).alias("bad")
     )
-    contexts = every.groupBy("length", "context").agg(
+    return every.groupBy("length", "context").agg(
         F.sum("good").alias("good_c"), F.sum("bad").alias("bad_c"), F.map_from_entries(F.collect_list(F.struct("char", F.struct("good", "bad")))).alias("next")
     )
-    total = contexts.where("length = 0").select(F.lit(1).alias("one"), (F.col("good_c") + F.col("bad_c")).alias("total"))
-    weighed = contexts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
-    return weighed.where((F.col("good_c") + F.col("bad_c")) * MIN_SHARE >= F.col("total")).drop("total", "one")
 
 
 def score(urls: DataFrame, model: DataFrame) -> DataFrame:

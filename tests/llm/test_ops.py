@@ -405,6 +405,13 @@ def test_url_model_tells_classes_apart(spark):
     assert sum(got[1000 + i] == ("allow" if i % 2 else "block") for i in range(40)) >= 36
 
 
+def test_url_model_keeps_rare_contexts_of_large_tables(spark):
+    few = spark.createDataFrame([("qzj.net/de", False), ("example.net/en/common", True)], "folded string, good boolean")
+    many = few.unionByName(spark.range(3000).select(F.lit("example.net/en/common").alias("folded"), F.lit(True).alias("good")))
+    small, large = ({(r["length"], r["context"]): r["bad_c"] for r in urlfilter.train(df).collect()} for df in (few, many))
+    assert small == large and large[3, "qzj"] == 1
+
+
 # 9 fingerprints
 
 
