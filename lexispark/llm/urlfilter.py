@@ -5,7 +5,7 @@ context (up to ORDER characters) that was seen, interpolated with shorter ones.
 difference of the two log-likelihoods divided by its length, against a cut calibrated on the ruled URLs. Training counts every ruled URL.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule, and is allowed; so is every undecided URL when
-either class has no training URL. Repeated rows get equal verdicts. Tables may be empty.
+either class has no training URL. A URL whose host is empty after ``://`` is undecided like others. Repeated rows get equal verdicts. Tables may be empty.
 """
 
 from __future__ import annotations
@@ -108,9 +108,9 @@ def calibrate(scored: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """keep..., host, path, rule, verdict, and the model's ``ratio`` and ``cut`` (null where it has none)."""
     host, path = split_url(pages[url])
-    rows = pages.select(*[pages[c] for c in keep], host.alias("host"), path.alias("path"), fold(F.coalesce(pages[url], F.lit(""))).alias("folded"))
+    rows = pages.select(*[pages[c] for c in keep], host.alias("host"), path.alias("path"), fold(F.coalesce(pages[url], F.lit(""))).alias("folded"), F.contains(F.coalesce(pages[url], F.lit("")), F.lit("://")).alias("_split"))
     rows = rows.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    judged = rows.select(*keep, "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.allow").alias("good"), "folded")
+    judged = rows.select(*keep, "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.allow").alias("good"), "folded", "_split")
     model = stored(train(judged.where(F.col("good").isNotNull()).select("folded", "good")), "urlmodel")
     different = stored(judged.select("folded").where("folded <> ''").distinct(), "urls")
     # few bytes that become many rows: spread by rows, where Spark would gather them by bytes
@@ -118,6 +118,6 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url: str = "url",
     scored = stored(score(different.repartition(tasks), model), "urlscores")
     all_rows = judged.join(scored, "folded", "left").withColumn("one", F.lit(1))
     cut = calibrate(all_rows.select("good", "ratio"))
-    verdict = F.when(F.coalesce(F.col("good"), F.col("host") == "", F.lit(False)), "allow").when(F.col("good").isNotNull(), "block")
+    verdict = F.when(F.coalesce(F.col("good"), ~F.col("_split")), "allow").when(F.col("good").isNotNull(), "block")
     verdict = verdict.when(F.col("ratio").isNull() | F.col("cut").isNull() | (F.col("ratio") >= F.col("cut")), "allow").otherwise("block")
     return all_rows.join(F.broadcast(cut), "one", "left").select(*keep, "host", "path", "rule", verdict.alias("verdict"), "ratio", "cut")
