@@ -499,19 +499,21 @@ def _words(spark, sf):
 
 @query("l01_train_embeddings")
 def train_embeddings(spark, sf):
-    return embed.train_embeddings(_words(spark, sf), size=20).getVectors().select("word")
+    from pyspark.ml.functions import vector_to_array
+
+    return embed.train_embeddings(_words(spark, sf)).getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 @query("m01_train_topics")
 def train_topics(spark, sf):
-    _, lda = topics.train_topics(_words(spark, sf), topics=8, iterations=3, vocabulary=5000)
+    _, lda = topics.train_topics(_words(spark, sf))
     return lda.describeTopics(5).select("topic", "termIndices")
 
 
 @query("m02_infer_topics")
 def infer_topics(spark, sf):
     docs = _words(spark, sf)
-    return topics.infer_topics(topics.train_topics(docs, topics=8, iterations=3, vocabulary=5000), docs, "source_id").select("source_id", "rank", "topic")
+    return topics.infer_topics(topics.train_topics(docs), docs, "source_id").select("source_id", "rank", "topic")
 
 
 # What the parsers of named formats make of lines that Spark derives from the documents.

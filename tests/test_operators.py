@@ -3,9 +3,11 @@
 import math
 
 import pytest
+from lexispark import catalog
 from lexispark.functions import measures as M
 from lexispark.functions import paths, text
-from lexispark.operators import annotate, evaluate, readability, register, sampling, textprep
+from lexispark.operators import annotate, evaluate, readability, register, sampling, textprep, topics
+from lexispark.plans import stats_queries
 from lexispark.sources import readers, writers
 from lexispark.streaming import append
 from pyspark.sql import functions as F
@@ -178,3 +180,35 @@ def test_append_and_stream(spark, tmp_path):
 def test_saved_matches(spark, tmp_path):
     path = writers.save_matches(spark.range(3), str(tmp_path), "q", "g", ["b", "a"])
     assert spark.read.parquet(path).count() == 3 and path.endswith(writers.matches_name("q", "g", ["a", "b"]))
+
+
+def test_topics_are_trained_whole(spark, sf, monkeypatch):
+    train, models = topics.train_topics, []
+
+    def short(docs, **given):
+        assert not given
+        models.append(train(docs, iterations=2))
+        return models[-1]
+
+    monkeypatch.setattr(topics, "train_topics", short)
+    told = catalog.queries()["m01_train_topics"](spark, sf).collect()
+    assert len(told) == 100 and all(len(r["termIndices"]) == 5 for r in told)
+    docs = stats_queries._words(spark, sf)
+    vocabulary = models[0][0].vocabulary
+    assert len(vocabulary) == docs.select(F.explode("words")).distinct().count() > 5000
+    best = catalog.queries()["m02_infer_topics"](spark, sf).groupBy("source_id").agg(F.count("*").alias("n")).collect()
+    assert len(best) == docs.count() and {r["n"] for r in best} == {5}
+
+
+def test_topics_of_rare_words(spark):
+    docs = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["a", "c"]), (3, [])], "source_id long, words array<string>")
+    models = topics.train_topics(docs, topics=2, iterations=2)
+    assert sorted(models[0].vocabulary) == ["a", "b", "c"]
+    got = topics.infer_topics(models, docs, "source_id", n=5, words=2).collect()
+    assert sorted((r["source_id"], r["rank"]) for r in got) == [(i, k) for i in (1, 2, 3) for k in (1, 2)]
+
+
+def test_embeddings_are_trained_whole(spark, sf):
+    got = catalog.queries()["l01_train_embeddings"](spark, sf)
+    words = stats_queries._words(spark, sf).select(F.explode("words").alias("w")).groupBy("w").count().where("count >= 2").count()
+    assert got.columns == ["word", "vector"] and got.where(F.size("vector") == 100).count() == words
