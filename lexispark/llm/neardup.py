@@ -213,7 +213,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"pairs-{turn}")
         if pairs.isEmpty():
-            break
+            # a star may meet nothing new while its buckets still hold links: only the last round is exhaustive
+            if turn == ROUNDS or open_.isEmpty():
+                break
+            continue
         fresh = stored(verified(pairs, texts), f"links-{turn}")
         done = fresh if done is None else done.unionByName(fresh)
         tried = pairs if tried is None else tried.unionByName(pairs)

@@ -523,6 +523,22 @@ def test_near_duplicates_odd(odd, none):
     assert neardup.keep_first(none).count() == 0
 
 
+def test_links_behind_a_centre_that_is_too_long(spark):
+    def three(seed):
+        w = [f"s{seed}w{i}" for i in range(160)]
+        return [" ".join(x) for x in (w + [f"s{seed}x{i}" for i in range(50)], w, [*w[:80], f"s{seed}y", *w[81:]])]
+
+    def hidden(texts):  # B and C meet only where A is met too
+        a, b, c = neardup.sketch(pa.array(texts))[1]
+        return np.any(b == c) and np.all(a[b == c] == b[b == c])
+
+    texts = next(t for t in map(three, range(20_000)) if hidden(t))
+    n = neardup.sketch(pa.array(texts))[0]
+    assert n[1] < neardup.SIMILARITY * n[0] and n[2] < neardup.SIMILARITY * n[0]
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {0: 0, 1: 1, 2: 1}
+
+
 @given(st.lists(st.integers(0, 9), max_size=14), st.lists(st.integers(0, 9), max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_alignment_is_the_longest_common_subsequence(a, b):
