@@ -228,7 +228,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """A row for each of ``docs``: doc_id, class_id (the least doc_id of its class), class_rows, and n_links found to different texts."""
+    """A row for each of ``docs``: doc_id, class_id (the least doc_id of its class), class_rows, and n_links_verified: how many
+    links to different texts were met on the way to the class, not all that there are."""
     found, state = links(docs)
     known = nodes(docs).join(state, "node", "left").withColumn("root", F.coalesce("root", "node"))
     count = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -240,7 +241,7 @@ def classes(docs: DataFrame) -> DataFrame:
         unkey(F.col("d")).alias("doc_id"),
         unkey(F.coalesce("class_doc", "d")).alias("class_id"),
         F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links_verified"),
     )
 
 
