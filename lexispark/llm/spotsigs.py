@@ -65,19 +65,20 @@ def length_part(size: Column, threshold: float) -> Column:
 
 def near_pairs(df: DataFrame, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pairs (a, b, likeness) of ids whose distinct fingerprints reach ``threshold``; equal fingerprints count as one, under
-    their least id. A set's prefix under a fixed order of signatures shares a member with every set it can reach; prefixes meet
+    their least id, which is null where one of them is null. A set's prefix under a fixed order of signatures shares a member with every set it can reach; prefixes meet
     only in the same or a neighbouring part by length, and bounds on the sizes prune before sets are compared."""
-    own = df.groupBy(signatures(df[text]).alias("s")).agg(F.min(doc_id).alias("id")).select("id", "s", F.size("s").alias("n"))
+    own = df.groupBy(signatures(df[text]).alias("s")).agg(F.min(key(df[doc_id])).alias("id")).select("id", fingerprint(F.col("s")).alias("f"), "s", F.size("s").alias("n"))
     own = stored(own.withColumn("part", length_part(F.col("n"), threshold)), "spotsigs")
     # sorted by value, so that frequent signatures are spread: the first n - ceil(t * n) + 1 are the prefix
     prefix = F.slice(F.sort_array("s"), F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    heads = own.select("id", "n", "part", F.explode(prefix).alias("sig"))
-    left = heads.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    right = heads.select("sig", "part", F.col("id").alias("b"), F.col("n").alias("nb"))
+    heads = own.select(F.struct("id", "f").alias("k"), "n", "part", F.explode(prefix).alias("sig"))
+    left = heads.select("sig", F.col("k").alias("a"), F.col("n").alias("na"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    right = heads.select("sig", "part", F.col("k").alias("b"), F.col("n").alias("nb"))
     met = left.join(right, ["sig", "part"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     met = met.where(F.col("na") >= F.col("nb") * threshold).select("a", "b").distinct()
-    both = met.join(own.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
+    sets = own.select(F.struct("id", "f").alias("k"), "s")
+    both = met.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select(unkey(F.col("a.id")).alias("a"), unkey(F.col("b.id")).alias("b"), likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
 
 
 def ring(ids: DataFrame) -> DataFrame:

@@ -465,6 +465,13 @@ def test_near_pairs_by_signatures(docs):
     assert {tuple(sorted((r["a"], r["b"]))) for r in spotsigs.near_pairs(docs).collect()} == want
 
 
+def test_near_pairs_of_null_ids(spark):
+    text = " ".join(f"the w{i} v{i}" for i in range(60))
+    rows = [(None, text), (None, text + " the other end"), (7, "the first " + text), (8, "unlike the rest of them")]
+    got = spotsigs.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(x or 0 for x in sorted((r["a"], r["b"]), key=lambda x: x or 0)) for r in got) == [(0, 0), (0, 7), (0, 7)]
+
+
 # 10 near-duplicates
 
 
