@@ -53,6 +53,14 @@ def sanitize_path(spark, sf):
     return d.select("doc_id", paths.path_string(paths.sanitize_path(F.array("lang", "source", F.substring("text", 1, 12)))).alias("path"))
 
 
+@query("b05_sanitize_line_path", r"""
+SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(list_concat([lang, source], string_split(text, chr(10))), lambda x: x <> ''), lambda x: regexp_replace(x, '[^\p{L}\p{N}]+', '_', 'g')), lambda x: strlen(x) < 256), '.') AS path FROM documents""")
+def sanitize_line_path(spark, sf):
+    """Whole lines as labels, so that some are too long."""
+    d = V.read(spark, sf, "documents")
+    return d.select("doc_id", paths.path_string(paths.sanitize_path(F.concat(F.array("lang", "source"), F.split("text", "\n")))).alias("path"))
+
+
 @query("b06_strip_token_space", r"SELECT sentence_id, regexp_replace(text, '[\s\x{3000}]+', '', 'g') AS stripped FROM sentences")
 def strip_token_space(spark, sf):
     return V.sentences(spark, sf).select("sentence_id", text.strip_token_space(F.col("text")).alias("stripped"))

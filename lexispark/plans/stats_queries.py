@@ -453,6 +453,13 @@ def infer_corpus_type(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", sampling.infer_corpus_type(F.concat_ws("-", "source", F.substring("text", 1, 12))).alias("kind"))
 
 
+@query("k03_infer_whole_corpus_type", """SELECT doc_id, CASE WHEN regexp_matches(d, '(?i)wiki') THEN 'wikipedia' WHEN regexp_matches(d, '(?i)(newspaper|mai|yomi)') THEN 'newspaper' WHEN regexp_matches(d, '(?i)(LB|OB|OC|OL|OM|OP|OT|OV|OW|OY|PB|PM|PN|VARIABLE)') THEN 'bccwj' WHEN regexp_matches(d, '(?i)ldcc') THEN 'livedoor' ELSE 'default' END AS kind
+ FROM (SELECT doc_id, source || '-' || text AS d FROM documents)""", with_views=False)
+def infer_whole_corpus_type(spark, sf):
+    """Whole texts as folder names."""
+    return V.read(spark, sf, "documents").select("doc_id", sampling.infer_corpus_type(F.concat_ws("-", "source", "text")).alias("kind"))
+
+
 def _vectors(spark, sf):
     return V.read(spark, sf, "embeddings")
 

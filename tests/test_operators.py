@@ -212,3 +212,12 @@ def test_embeddings_are_trained_whole(spark, sf):
     got = catalog.queries()["l01_train_embeddings"](spark, sf)
     words = stats_queries._words(spark, sf).select(F.explode("words").alias("w")).groupBy("w").count().where("count >= 2").count()
     assert got.columns == ["word", "vector"] and got.where(F.size("vector") == 100).count() == words
+
+
+def test_path_and_type_queries_read_whole_texts(spark, sf):
+    q, docs = catalog.queries(), spark.read.parquet(f"{sf}/documents.parquet")
+    long = docs.where(F.exists(F.split("text", "\n"), lambda x: F.octet_length(x) >= 300))
+    assert long.count() > 0
+    got = q["b05_sanitize_line_path"](spark, sf)
+    assert got.where(F.exists(F.split("path", r"\."), lambda x: F.octet_length(x) >= 256)).count() == 0 < got.where(F.length("path") > 256).count()
+    assert q["k03_infer_whole_corpus_type"](spark, sf).exceptAll(q["k03_infer_corpus_type"](spark, sf)).count() > 0
