@@ -34,9 +34,12 @@ def unkey(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set only where the session has none, as in tests."""
+    """The folder that driver and executors share. A local session without one gets a new folder; elsewhere it must be set,
+    since executors cannot read each other's own folders."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lexispark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -48,6 +51,49 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: cuts lineage, and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
+    return _written(df, new_path(df.sparkSession, name), *partition_by)
+
+
+def _written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables of one run, in a folder of their own that is deleted at the end of the block: what leaves the block is `stored`."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._path = spark, new_path(spark, name)
+
+    def __enter__(self):
+        return lambda df, name: _written(df, f"{self._path}/{name}-{uuid.uuid4().hex}")
+
+    def __exit__(self, *_):
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Deal:
+    """Joins on ``keys`` of which some may hold a large part of all rows. A key with more than 1 / ``SHARES`` of the rows is dealt
+    over as many salts as it has such shares, so no task gets much more than a share; there are at most ``SHARES`` such keys,
+    which bounds the broadcast. ``sizes``: (keys, size), the rows of each key."""
+
+    SHARES = 500
+
+    def __init__(self, keys: list[str], sizes: DataFrame, total: int):
+        share = max(1, total // self.SHARES)
+        self.keys = keys
+        self._hot = sizes.where(F.col("size") > share).select(*keys, F.ceil(F.col("size") / share).cast("int").alias("_salts"))
+
+    def many(self, rows: DataFrame, *spread: str) -> DataFrame:
+        """``rows``, of which a key may have any number, with `_salt` from the columns ``spread``."""
+        salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts"))).cast("int")
+        return rows.join(F.broadcast(self._hot), self.keys, "left").withColumn("_salt", salt).drop("_salts")
+
+    def one(self, rows: DataFrame) -> DataFrame:
+        """``rows``, of which a key has one or a few, for each `_salt`."""
+        salts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))
+        return rows.join(F.broadcast(self._hot), self.keys, "left").withColumn("_salt", salts).drop("_salts")
+
+    def join(self, many: DataFrame, one: DataFrame, how: str, *spread: str) -> DataFrame:
+        return self.many(many, *spread).join(self.one(one), [*self.keys, "_salt"], how).drop("_salt")

@@ -6,12 +6,19 @@ alignment of their labelled shingle sequences matches M of them with M / (n1 + n
 are unique within a text, so the alignment is a longest increasing subsequence of matched positions; only matches inside the band
 of n1 + n2 - 2M insertions and deletions that the threshold allows can belong to it.
 
-Equal texts are one node throughout. In a bucket, members are first aligned with one centre, then classes are joined, and only
-members that are not yet in the centre's class are aligned with members of other classes; buckets of one class cost no pairs. Of those, a pair is tried only if both
-texts share enough shingles with any others of the open buckets to reach the threshold, which rules out no link.
+Equal texts are one node throughout. Classes are the connected parts of the links, so a link inside a class need not be looked at:
+
+1. Texts that share two neighbouring sketches are aligned with the one among them whose sketches most texts share, and
+   classes are joined.
+2. What is left are texts of different classes in one bucket. Each is described by its difference from the bucket's centre, the shingles that
+   it lacks or has beside it. For two texts to reach the threshold their differences must have a certain number of shingles in common, which
+   follows from their sizes; differences are joined by the rarest of their shingles, so many that two with enough in common
+   must share one of these. What a large group has in common is in no difference. Of these pairs first the best of each text and class
+   is aligned, then those that are still in different classes.
 
 Defined results: null texts are in classes of their own and have no links; texts without words are linked to equal texts only;
-null ids come first; repeated rows are equal texts. Tables may be empty.
+null ids come first; repeated rows are equal texts; of rows with equal ids and texts ``keep_first`` keeps any one. Texts of any length
+are read whole; tables may be empty; columns of any name come through.
 """
 
 from __future__ import annotations
@@ -20,18 +27,18 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shingles import mix, shingles
-from ._text import key, stored, unkey
+from ._text import Deal, Scratch, key, stored, unkey
 from ._tokens import ranges
 
 SIMILARITY, SKETCHES, KEPT = 0.8, 16, 2
-#: Stars around different centres before what is left is compared pair by pair.
-ROUNDS = 3
 CHARS = 4_000_000
+#: Two texts of n1 and n2 shingles are linked if they match at least this share of n1 + n2.
+SHARE = SIMILARITY / (1 + SIMILARITY)
+EPS = 1e-6
 
 
 def sketch(texts: pa.Array, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
@@ -60,21 +67,16 @@ def sketch(texts: pa.Array, sketches: int = SKETCHES) -> tuple[np.ndarray, np.nd
     return sizes, out
 
 
-def matched(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Likeness of two labelled shingle sequences by banded alignment; 0 if it is below ``least``."""
+def matched(a: np.ndarray, b: np.ndarray, order: np.ndarray, least: float = SIMILARITY) -> float:
+    """Likeness of two labelled shingle sequences by banded alignment; 0 if it is below ``least``. ``order`` sorts b."""
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < least * max(n, m):
         return 0.0
     need = least * (n + m) / (1 + least)  # M / (n + m - M) >= least
     band = int(n + m - 2 * need + 1e-9)
-    order = np.argsort(b, kind="stable")
-    at = np.searchsorted(b, a, sorter=order)
-    found = at < m
-    j = order[np.where(found, at, 0)]
-    found &= b[j] == a
-    i, j = np.flatnonzero(found), j[found]
+    i, j = common(a, b, order)
     near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
+    j = j[near]
     if len(j) < need - 1e-9:
         return 0.0
     if np.all(j[1:] > j[:-1]):
@@ -92,6 +94,15 @@ def matched(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return value if value >= least - 1e-12 else 0.0
 
 
+def common(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the labelled shingles that both sequences have. ``order`` sorts b."""
+    at = np.searchsorted(b, a, sorter=order)
+    found = at < len(b)
+    j = order[np.where(found, at, 0)]
+    found &= b[j] == a
+    return np.flatnonzero(found), j[found]
+
+
 def nodes(docs: DataFrame) -> DataFrame:
     """(node, doc, copies) for each different text: its MD5, its least document and how many rows have it."""
     rows = docs.where(docs["text"].isNotNull()).select(F.unhex(F.md5(docs["text"].cast("binary"))).alias("node"), key(docs["doc_id"]).alias("d"))
@@ -110,145 +121,234 @@ def sketched(docs: DataFrame) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), lists], ["node", "n", "sketches"])
                 yield out.filter(full)
 
-    rows = docs.where(docs["text"].isNotNull()).select(F.unhex(F.md5(docs["text"].cast("binary"))).alias("node"), "text")
-    return rows.mapInArrow(work, "node binary, n long, sketches array<long>")
-
+    return named(docs).mapInArrow(work, "node binary, n long, sketches array<long>")
 
-def buckets(sketches: DataFrame) -> DataFrame:
-    """(bucket, node, n): places of two or more different texts."""
-    rows = sketches.select("node", "n", F.explode("sketches").alias("bucket")).distinct()
-    full = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("bucket")
-    return rows.join(full, "bucket", "left_semi")
 
+def named(docs: DataFrame) -> DataFrame:
+    return docs.where(docs["text"].isNotNull()).select(F.unhex(F.md5(docs["text"].cast("binary"))).alias("node"), "text")
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked; texts: (node, text)."""
 
-    def work(frames):
-        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-        for batch in frames:
-            for lo, hi in ranges(batch.column(3), CHARS):
-                part = batch.slice(lo, hi - lo)
-                names = part.column(0).to_pylist()
-                fresh = [i for i, x in enumerate(names) if x != (names[i - 1] if i else last[0])]
-                left, at = shingles(part.column(2).take(pa.array(fresh, pa.int64())))
-                right, to = shingles(part.column(3))
-                keep, k = [], -1
-                for i in range(len(names)):
-                    if k + 1 < len(fresh) and fresh[k + 1] == i:
-                        k += 1
-                        last = names[i], left[at[k] : at[k + 1]]
-                    keep.append(matched(last[1], right[to[i] : to[i + 1]]) > 0)
-                yield part.select([0, 1]).filter(pa.array(keep))
-
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(work, "a binary, b binary")
-
-
-def shared(texts: DataFrame) -> DataFrame:
-    """(node, most): how many of a text's labelled shingles occur in another of these texts, which is the most that any alignment
-    between them can match. texts: (node, text)."""
+def sequences(texts: DataFrame) -> DataFrame:
+    """(node, s): the labelled shingles of each text in order."""
 
     def work(frames):
         for batch in frames:
             for lo, hi in ranges(batch.column(1), CHARS):
                 s, at = shingles(batch.column(1).slice(lo, hi - lo))
-                owner = np.repeat(np.arange(hi - lo), np.diff(at))
-                nodes = batch.column(0).slice(lo, hi - lo).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([nodes, pa.array(s.view(np.int64))], ["node", "shingle"])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["node", "s"])
+
+    return texts.select("node", "text").mapInArrow(work, "node binary, s array<long>")
+
+
+def beside(pairs: DataFrame, seqs: DataFrame, work, schema: str) -> DataFrame:
+    """``work(a, b, s_a, order_a, s_b)`` for batches of pairs (a, b), as a row each: b and s_b are lists, a is one text.
 
-    rows = texts.select("node", "text").mapInArrow(work, "node binary, shingle long")
+    The shingles of a travel once for each salt of a, not once for each pair: they lead the sorted rows of their pairs."""
+    only = pairs.select("a", "b")
+    deal = Deal(["a"], only.groupBy("a").agg(F.count("*").alias("size")), only.count())
+    dealt = deal.many(only, "b")
+    heads = dealt.select("a", "_salt").distinct().join(seqs.select(F.col("node").alias("a"), "s"), "a")
+    tails = dealt.join(seqs.select(F.col("node").alias("b"), "s"), "b")
+    rows = heads.select("a", "_salt", F.lit(None).cast("binary").alias("b"), "s").unionByName(tails.select("a", "_salt", "b", "s"))
+    rows = rows.repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first()).select("a", "b", "s")
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames):
+        name, seq, order = b"", np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in frames:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = batch.column(2).offsets.to_numpy()
+            s = batch.column(2).values.to_numpy().view(np.uint64)
+            out = []
+            for i in range(len(a)):
+                own = s[at[i] : at[i + 1]]
+                if b[i] is None:
+                    name, seq, order = a[i], own.copy(), np.argsort(own, kind="stable")
+                elif (row := work(name, b[i], seq, order, own)) is not None:
+                    out.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in out])
+
+    return rows.mapInArrow(run, schema)
+
+
+def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked."""
+    return beside(pairs, seqs, lambda a, b, x, order, y: (a, b) if matched(y, x, order) else None, "a binary, b binary")
+
+
+_LACKS = np.uint64(0x5851F42D4C957F2D)
+
+
+def _difference(c: bytes, node: bytes, x: np.ndarray, order: np.ndarray, y: np.ndarray):
+    i, j = common(y, x, order)
+    has, lacks = np.ones(len(y), bool), np.ones(len(x), bool)
+    has[i] = lacks[j] = False
+    lacking, extra = x[lacks] ^ _LACKS, y[has]
+    return c, node, len(x), len(lacking), np.concatenate([lacking, extra]).view(np.int64).tolist()
+
+
+def differences(members: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(c, node, nc, lacks, difference) of members (c, node): c's number of shingles, how many of them the node lacks, and these with those it
+    has beside them."""
+    pairs = members.select(F.col("c").alias("a"), F.col("node").alias("b"))
+    return beside(pairs, seqs, _difference, "c binary, node binary, nc long, lacks long, difference array<long>")
+
+
+def shared(seqs: DataFrame) -> DataFrame:
+    """(node, most): how many of a text's labelled shingles occur in another of these texts, which is the most that any alignment
+    between them can match."""
+    rows = seqs.select("node", F.explode("s").alias("shingle"))
     once = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
     lone = once.groupBy("node").agg(F.count("*").alias("lone"))
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n"))
-    return sizes.join(lone, "node", "left").select("node", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("most"))
+    return seqs.select("node", F.size("s").alias("n")).join(lone, "node", "left").select("node", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("most"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep) -> DataFrame:
     """(node, root): the least node of each node's connected part, by spreading minima and jumping."""
-    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    state = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "roots")
+    both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    sizes = both.groupBy("b").agg(F.count("*").alias("size"))
+    deal = Deal(["b"], sizes, both.count())
+    edges = keep(deal.many(both, "a"), "dealt")
+    state = keep(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "roots")
     while True:
-        near = edges.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        near = edges.join(deal.one(state.select(F.col("node").alias("b"), "root")), ["b", "_salt"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         spread = state.join(near, "node").select("node", F.least("root", "near").alias("next"), "root")
-        jump = state.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        after = stored(spread.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("was")), "roots")
+        # a root is its own root, so only where it is another node is there anything to jump to
+        jump = state.where("node <> root").select(F.col("node").alias("next"), F.col("root").alias("far"))
+        after = keep(spread.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("was")), "roots")
         state = after.select("node", "root")
         if after.where("root <> was").isEmpty():
             return state
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between different texts that join all texts that any chain of links joins, and (node, root)."""
-    met = stored(buckets(sketched(docs)), "buckets")
-    named = docs.where(docs["text"].isNotNull()).select(F.unhex(F.md5(docs["text"].cast("binary"))).alias("node"), "text")
-    texts = stored(named.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    done = tried = state = None
-    for turn in range(ROUNDS + 1):
-        if state is None:
-            open_ = met.withColumn("root", F.col("node"))
-        else:
-            all_ = met.join(state, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = all_.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-            open_ = stored(all_.join(mixed, "bucket", "left_semi"), f"open-{turn}")
-        if turn < ROUNDS:
-            # another centre each turn, a long text first: those that lost words are nearer to it than to each other
-            rank = F.struct(F.xxhash64("node", F.lit(turn))) if turn else F.struct(-F.col("n"), F.xxhash64("node"))
-            centres = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "root", "n"), rank).alias("c"))
-            pairs = open_.join(centres, "bucket").where(F.col("root") != F.col("c.root")).select(F.col("c.node").alias("x"), F.col("node").alias("y"), F.col("c.n").alias("nx"), F.col("n").alias("ny"))
-        else:
-            # all of the others' classes, for members outside the largest class of a bucket
-            sizes = open_.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-            largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-            able = open_.join(shared(texts.join(open_.select("node").distinct(), "node", "left_semi")), "node")
-            able = stored(able.where(F.col("most") >= SIMILARITY * F.col("n") - 1e-9), "able")
-            few = able.join(largest, "bucket").where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("most").alias("mx"), "main")
-            pairs = few.join(able.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("most").alias("my")), "bucket")
-            need = SIMILARITY / (1 + SIMILARITY) * (F.col("nx") + F.col("ny")) - 1e-9
-            pairs = pairs.where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.least("mx", "my") >= need))
-        pairs = pairs.where(F.least("nx", "ny") >= SIMILARITY * F.greatest("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, f"pairs-{turn}")
-        if pairs.isEmpty():
-            # a star may meet nothing new while its buckets still hold links: only the last round is exhaustive
-            if turn == ROUNDS or open_.isEmpty():
-                break
-            continue
-        fresh = stored(verified(pairs, texts), f"links-{turn}")
-        done = fresh if done is None else done.unionByName(fresh)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        state = components(done)
-    if done is None:
-        done = docs.sparkSession.createDataFrame([], "a binary, b binary")
-        state = docs.sparkSession.createDataFrame([], "node binary, root binary")
-    return done, state
+def _fits(x: str, y: str):
+    return F.least(x, y) >= SIMILARITY * F.greatest(x, y) - EPS
+
+
+def stars(sketches: DataFrame, scores: DataFrame, keep) -> DataFrame:
+    """Pairs (a, b) of a text and the most central one, a, of those that share two neighbouring sketches with it."""
+    nodes = keep(sketches.join(scores, "node"), "scored")
+    twos = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.xxhash64(i, F.get("sketches", i), F.get("sketches", F.pmod(i + 1, F.lit(SKETCHES)))))
+    rows = nodes.select("node", "n", "score", F.explode(twos).alias("two"))
+    first = rows.groupBy("two").agg(F.count("*").alias("size"), F.max_by(F.struct("node", "n"), F.struct("score", "node")).alias("c")).where("size > 1")
+    first = keep(first.select("two", "size", F.col("c.node").alias("a"), F.col("c.n").alias("na")), "stars")
+    deal = Deal(["two"], first.select("two", "size"), nodes.count() * SKETCHES)
+    met = deal.join(rows.select("two", F.col("node").alias("b"), "n"), first.drop("size"), "inner", "b")
+    return met.where((F.col("a") != F.col("b")) & _fits("n", "na")).select("a", "b").distinct()
+
+
+def rests(met: DataFrame, deal: Deal, state: DataFrame, scores: DataFrame, seqs: DataFrame, keep) -> DataFrame:
+    """Pairs (x, y, rx, ry, met) of texts of different classes in one bucket that can reach the threshold, and how many rare parts of
+    their differences they share. met: (bucket, node, n)."""
+
+    def mixed(rows):
+        two = rows.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
+        return deal.join(rows, two, "left_semi", "node")
+
+    open_ = keep(mixed(keep(met.join(state, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")), "open")
+    nodes = open_.select("node", "n", "root").distinct()
+    able = shared(seqs.join(nodes.select("node"), "node", "left_semi"))
+    able = keep(nodes.join(able, "node").where(F.col("most") >= SIMILARITY * F.col("n") - EPS), "able")
+    rows = keep(open_.select("bucket", "node", "root").join(able.select("node"), "node", "left_semi"), "able-met")
+    rows = keep(mixed(rows).join(scores, "node"), "able-open")
+    centres = rows.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("c"))
+    members = keep(deal.join(rows.select("bucket", "node"), centres, "inner", "node").select("c", "node").distinct(), "members")
+    diffs = keep(differences(members, seqs).join(able, "node"), "differences")
+
+    # what one member only lacks or has is common to no two
+    parts = diffs.select("c", "node", F.explode("difference").alias("part"))
+    often = keep(parts.groupBy("c", "part").agg(F.count("*").alias("size")).where("size > 1"), "parts")
+    by_part = Deal(["c", "part"], often, parts.count())
+    ranked = by_part.join(parts, often, "inner", "node").groupBy("c", "node").agg(F.sort_array(F.collect_list(F.struct("size", "part"))).alias("parts"))
+    # of x and y at least share * (nx + ny) shingles are matched; |x and y| = nc - |c less x| - |c less y| + parts in common
+    weight = SHARE * F.col("n") + F.col("lacks") - F.col("nc") / 2
+    full = diffs.drop("difference").join(ranked, ["c", "node"], "left")
+    full = keep(full.select("c", "node", "root", "n", "most", weight.alias("w"), F.coalesce("parts", F.array().cast("array<struct<size:bigint,part:bigint>>")).alias("parts")), "weighed")
+    main = full.groupBy("c", "root").agg(F.count("*").alias("k")).groupBy("c").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    full = full.join(main, "c")
+    outer = full.where("root <> main")
+    full = full.join(outer.groupBy("c").agg(F.min("w").alias("least_x")), "c")
+    need_y = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("w") + F.col("least_x") - EPS))
+    ys = keep(full.withColumn("need", need_y).where(F.size("parts") >= F.col("need")), "inner")
+    xs = outer.join(ys.groupBy("c").agg(F.min("w").alias("least_y")), "c")
+    xs = xs.withColumn("need", F.greatest(F.lit(0).cast("long"), F.ceil(F.col("w") + F.col("least_y") - EPS))).where(F.size("parts") >= F.col("need"))
+
+    def prefix(side):
+        # part null stands for pairs that need nothing in common; the others must share one of the first size - need + 1 parts
+        some = F.transform(F.slice("parts", F.lit(1), (F.size("parts") - F.greatest("need", F.lit(1).cast("long")) + 1).cast("int")), lambda p: p["part"])
+        none = F.when(F.col("need") == 0, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        return side.withColumn("part", F.explode(F.concat(none, F.when(F.size("parts") > 0, some).otherwise(F.array().cast("array<bigint>")))))
+
+    x = prefix(xs).select("c", "part", "main", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("w").alias("wx"), F.size("parts").alias("px"))
+    y = prefix(ys).select("c", "part", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("w").alias("wy"), F.size("parts").alias("py"))
+    x, y = (t.withColumn("any", F.col("part").isNull()).withColumn("part", F.coalesce("part", F.lit(0))) for t in (x, y))
+    need = F.col("wx") + F.col("wy") - EPS
+    apart = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny")
+    reach = (F.least("mx", "my") >= SHARE * (F.col("nx") + F.col("ny")) - EPS) & F.when(F.col("any"), need <= 0).otherwise(F.least("px", "py") >= need)
+    pairs = x.join(y, ["c", "part", "any"]).where(apart & reach)
+    return pairs.groupBy("x", "y", "rx", "ry").agg(F.count("*").alias("met"))
+
+
+def _once(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (a, b) without those that were tried in either order."""
+    both = done.select(F.least("a", "b").alias("_l"), F.greatest("a", "b").alias("_g"))
+    own = pairs.withColumn("_l", F.least("a", "b")).withColumn("_g", F.greatest("a", "b"))
+    return own.join(both, ["_l", "_g"], "left_anti").drop("_l", "_g")
+
+
+def roots(docs: DataFrame) -> DataFrame:
+    """(node, root) of all texts that have a link to another text."""
+    spark = docs.sparkSession
+    with Scratch(spark, "neardup") as keep:
+        sketches = keep(sketched(docs).dropDuplicates(["node"]), "sketches")
+        rows = sketches.select("node", "n", F.explode("sketches").alias("bucket"))
+        sizes = keep(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        deal = Deal(["bucket"], sizes, sketches.count() * SKETCHES)
+        met = keep(deal.join(rows, sizes, "inner", "node"), "met")
+        scores = keep(met.groupBy("node").agg(F.sum("size").alias("score")), "scores")
+        met = met.drop("size")
+        texts = named(docs).join(scores.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        seqs = keep(sequences(texts), "sequences")
+
+        tried = keep(stars(sketches, scores, keep), "stars-tried")
+        found = keep(verified(tried, seqs), "links-0")
+        state = components(found, keep)
+        pairs = keep(rests(met, deal, state, scores, seqs, keep), "rests")
+        best = pairs.groupBy("x", "rx", "ry").agg(F.max_by("y", F.struct("met", "y")).alias("y"))
+        best = keep(_once(best.select(F.col("y").alias("a"), F.col("x").alias("b")).distinct(), tried), "best")
+        fresh = keep(verified(best, seqs), "links-1")
+        if not fresh.isEmpty():
+            found = found.unionByName(fresh)
+            state = components(found, keep)
+        now = [state.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "xy"]
+        left = pairs.select("x", "y").join(now[0], "x", "left").join(now[1], "y", "left").where(F.coalesce("rx", "x") != F.coalesce("ry", "y"))
+        left = keep(_once(left.select(F.col("y").alias("a"), F.col("x").alias("b")).distinct(), tried.unionByName(best)), "left")
+        fresh = keep(verified(left, seqs), "links-2")
+        if not fresh.isEmpty():
+            state = components(found.unionByName(fresh), keep)
+        return stored(state, "neardup-roots")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """A row for each of ``docs``: doc_id, class_id (the least doc_id of its class), class_rows, and n_links_verified: how many
-    links to different texts were met on the way to the class, not all that there are."""
-    found, state = links(docs)
-    known = nodes(docs).join(state, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    count = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = stored(known.join(count, "node", "left"), "nodes")
+    """A row for each of ``docs``: doc_id, class_id (the least doc_id of its class) and class_rows."""
+    known = nodes(docs).join(roots(docs), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = stored(known, "neardup-nodes")
     heads = known.groupBy("root").agg(F.min("doc").alias("class_doc"), F.sum("copies").alias("class_rows"))
-    placed = known.join(heads, "root").select("node", "class_doc", "class_rows", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = known.join(heads, "root").select("node", "class_doc", "class_rows")
     rows = docs.select(key(docs["doc_id"]).alias("d"), F.unhex(F.md5(docs["text"].cast("binary"))).alias("node"))
     return rows.join(placed, "node", "left").select(
         unkey(F.col("d")).alias("doc_id"),
         unkey(F.coalesce("class_doc", "d")).alias("class_id"),
         F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links_verified"),
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class, that with the least doc_id; rows of null text stay."""
-    _, state = links(docs)
-    known = nodes(docs).join(state, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes(docs).join(roots(docs), "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = known.groupBy("root").agg(F.min_by(F.struct("node", "doc"), F.struct("doc", "node")).alias("head")).select("head.*")
     rows = docs.where(docs["text"].isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.unhex(F.md5(docs["text"].cast("binary"))).alias("node"), key(docs["doc_id"]).alias("doc"))
     kept = rows.join(heads, ["node", "doc"]).groupBy("node", "doc").agg(F.first("_row").alias("_row")).select("_row.*")
