@@ -63,12 +63,25 @@ class Scratch:
     """Tables of one run, in a folder of their own that is deleted at the end of the block: what leaves the block is `stored`."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self._spark, self._path = spark, new_path(spark, name)
+        self._spark, self._path, self._tables = spark, new_path(spark, name), []
 
     def __enter__(self):
-        return lambda df, name: _written(df, f"{self._path}/{name}-{uuid.uuid4().hex}")
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{self._path}/{name}-{uuid.uuid4().hex}")
+
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """``df`` in buckets of ``key``, for tables that many joins by this key read: they shuffle the other side only."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        n = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        self._tables.append(table)
+        df.write.option("compression", "zstd").option("path", f"{self._path}/{table}").bucketBy(n, key).saveAsTable(table)
+        return self._spark.table(table)
 
     def __exit__(self, *_):
+        for table in self._tables:
+            self._spark.sql(f"DROP TABLE IF EXISTS {table}")
         path = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 

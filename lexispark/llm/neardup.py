@@ -9,9 +9,10 @@ of n1 + n2 - 2M insertions and deletions that the threshold allows can belong to
 Equal texts are one node throughout. Classes are the connected parts of the links, so a link inside a class need not be looked at:
 
 1. Texts that share two neighbouring sketches are aligned with the one among them whose sketches most texts share, and
-   classes are joined.
-2. What is left are texts of different classes in one bucket. Each is described by its difference from the bucket's centre, the shingles that
-   it lacks or has beside it. For two texts to reach the threshold their differences must have a certain number of shingles in common, which
+   classes are joined. What is left are texts of different classes in one bucket; of these only texts go on that share enough shingles
+   with any others.
+2. They are aligned with the centre of their bucket, the text with the most common shingles.
+3. Each is described by its difference from the centre, the shingles that it lacks or has beside it. For two texts to reach the threshold their differences must have a certain number of shingles in common, which
    follows from their sizes; differences are joined by the rarest of their shingles, so many that two with enough in common
    must share one of these. What a large group has in common is in no difference. Of these pairs first the best of each text and class
    is aligned, then those that are still in different classes.
@@ -27,7 +28,7 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shingles import mix, shingles
@@ -148,9 +149,8 @@ def beside(pairs: DataFrame, seqs: DataFrame, work, schema: str) -> DataFrame:
     only = pairs.select("a", "b")
     deal = Deal(["a"], only.groupBy("a").agg(F.count("*").alias("size")), only.count())
     dealt = deal.many(only, "b")
-    heads = dealt.select("a", "_salt").distinct().join(seqs.select(F.col("node").alias("a"), "s"), "a")
-    tails = dealt.join(seqs.select(F.col("node").alias("b"), "s"), "b")
-    rows = heads.select("a", "_salt", F.lit(None).cast("binary").alias("b"), "s").unionByName(tails.select("a", "_salt", "b", "s"))
+    heads = dealt.select(F.col("a").alias("node"), "a", "_salt", F.lit(None).cast("binary").alias("b")).distinct()
+    rows = heads.unionByName(dealt.withColumn("node", F.col("b"))).join(seqs, "node")
     rows = rows.repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first()).select("a", "b", "s")
 
     names = [c.split()[0] for c in schema.split(", ")]
@@ -206,7 +206,7 @@ def shared(seqs: DataFrame) -> DataFrame:
     return seqs.select("node", F.size("s").alias("n")).join(lone, "node", "left").select("node", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("most"))
 
 
-def components(links: DataFrame, keep) -> DataFrame:
+def components(links: DataFrame, keep: Scratch) -> DataFrame:
     """(node, root): the least node of each node's connected part, by spreading minima and jumping."""
     both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     sizes = both.groupBy("b").agg(F.count("*").alias("size"))
@@ -228,7 +228,7 @@ def _fits(x: str, y: str):
     return F.least(x, y) >= SIMILARITY * F.greatest(x, y) - EPS
 
 
-def stars(sketches: DataFrame, scores: DataFrame, keep) -> DataFrame:
+def stars(sketches: DataFrame, scores: DataFrame, keep: Scratch) -> DataFrame:
     """Pairs (a, b) of a text and the most central one, a, of those that share two neighbouring sketches with it."""
     nodes = keep(sketches.join(scores, "node"), "scored")
     twos = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.xxhash64(i, F.get("sketches", i), F.get("sketches", F.pmod(i + 1, F.lit(SKETCHES)))))
@@ -240,55 +240,75 @@ def stars(sketches: DataFrame, scores: DataFrame, keep) -> DataFrame:
     return met.where((F.col("a") != F.col("b")) & _fits("n", "na")).select("a", "b").distinct()
 
 
-def rests(met: DataFrame, deal: Deal, state: DataFrame, scores: DataFrame, seqs: DataFrame, keep) -> DataFrame:
-    """Pairs (x, y, rx, ry, met) of texts of different classes in one bucket that can reach the threshold, and how many rare parts of
-    their differences they share. met: (bucket, node, n)."""
+def able(met: DataFrame, deal: Deal, state: DataFrame, seqs: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts (node, n, most) that share a bucket with one of another class and enough shingles with any, their shingles (node, s),
+    and (c, node): the text c of each bucket whose shingles are the most common, and the texts of the bucket. met: (bucket, node, n)."""
 
     def mixed(rows):
         two = rows.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
         return deal.join(rows, two, "left_semi", "node")
 
-    open_ = keep(mixed(keep(met.join(state, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")), "open")
-    nodes = open_.select("node", "n", "root").distinct()
-    able = shared(seqs.join(nodes.select("node"), "node", "left_semi"))
-    able = keep(nodes.join(able, "node").where(F.col("most") >= SIMILARITY * F.col("n") - EPS), "able")
-    rows = keep(open_.select("bucket", "node", "root").join(able.select("node"), "node", "left_semi"), "able-met")
-    rows = keep(mixed(rows).join(scores, "node"), "able-open")
-    centres = rows.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("c"))
-    members = keep(deal.join(rows.select("bucket", "node"), centres, "inner", "node").select("c", "node").distinct(), "members")
-    diffs = keep(differences(members, seqs).join(able, "node"), "differences")
+    rooted = keep(met.join(state, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    open_ = keep(mixed(rooted), "open")
+    texts = open_.select("node", "n").distinct()
+    most = shared(seqs.join(texts.select("node"), "node", "left_semi"))
+    texts = keep(texts.join(most, "node").where(F.col("most") >= SIMILARITY * F.col("n") - EPS), "able")
+    own = keep(seqs.join(texts.select("node"), "node", "left_semi"), "able-sequences")
+    rows = keep(mixed(open_.join(texts.select("node"), "node", "left_semi")), "able-open")
+    each = own.select("node", F.explode("s").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
+    by_shingle = Deal(["shingle"], often, each.count())
+    common_ = by_shingle.join(each, often, "inner", "node").groupBy("node").agg(F.sum("size").alias("seen"))
+    common_ = texts.join(common_, "node").select("node", (F.col("seen") / F.col("n")).alias("seen"))
+    centres = rows.join(common_, "node").groupBy("bucket").agg(F.max_by("node", F.struct("seen", "node")).alias("c"))
+    members = deal.join(rows.select("bucket", "node"), centres, "inner", "node").select("c", "node").distinct()
+    return texts, own, keep(members, "members")
+
+
+def rests(members: DataFrame, texts: DataFrame, own: DataFrame, keep: Scratch) -> DataFrame:
+    """Pairs (x, y, rx, ry, met) of texts of different classes with one centre that can reach the threshold, and how many rare parts of
+    their differences they share. texts: (node, n, most, root)."""
+    rooted = members.join(texts, "node")
+    by_c = Deal(["c"], members.groupBy("c").agg(F.count("*").alias("size")), members.count())
+    counts = rooted.groupBy("c", "root").agg(F.count("*").alias("k")).groupBy("c").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("classes"))
+    rooted = keep(by_c.join(rooted, counts.where("classes > 1").drop("classes"), "inner", "node"), "rooted-members")
+    diffs = keep(differences(rooted, own).join(rooted, ["c", "node"]), "differences")
 
     # what one member only lacks or has is common to no two
     parts = diffs.select("c", "node", F.explode("difference").alias("part"))
     often = keep(parts.groupBy("c", "part").agg(F.count("*").alias("size")).where("size > 1"), "parts")
     by_part = Deal(["c", "part"], often, parts.count())
     ranked = by_part.join(parts, often, "inner", "node").groupBy("c", "node").agg(F.sort_array(F.collect_list(F.struct("size", "part"))).alias("parts"))
-    # of x and y at least share * (nx + ny) shingles are matched; |x and y| = nc - |c less x| - |c less y| + parts in common
+    # of x and y at least SHARE * (nx + ny) shingles are matched; |x and y| = nc - |c less x| - |c less y| + parts in common
     weight = SHARE * F.col("n") + F.col("lacks") - F.col("nc") / 2
-    full = diffs.drop("difference").join(ranked, ["c", "node"], "left")
-    full = keep(full.select("c", "node", "root", "n", "most", weight.alias("w"), F.coalesce("parts", F.array().cast("array<struct<size:bigint,part:bigint>>")).alias("parts")), "weighed")
-    main = full.groupBy("c", "root").agg(F.count("*").alias("k")).groupBy("c").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    full = full.join(main, "c")
+    full = diffs.drop("difference").withColumn("w", weight).drop("nc", "lacks").join(ranked, ["c", "node"], "left")
+    full = keep(full.withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<size:bigint,part:bigint>>"))), "weighed")
+
+    def reaching(rows, others):
+        """``rows`` that can have as much in common with some of ``others`` as the threshold asks for, and the least that they need."""
+        need = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("w") + F.col("_least") - EPS))
+        met = by_c.join(rows, others.groupBy("c").agg(F.min("w").alias("_least")), "inner", "node")
+        return met.withColumn("need", need).drop("_least").where(F.size("parts") >= F.col("need"))
+
     outer = full.where("root <> main")
-    full = full.join(outer.groupBy("c").agg(F.min("w").alias("least_x")), "c")
-    need_y = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("w") + F.col("least_x") - EPS))
-    ys = keep(full.withColumn("need", need_y).where(F.size("parts") >= F.col("need")), "inner")
-    xs = outer.join(ys.groupBy("c").agg(F.min("w").alias("least_y")), "c")
-    xs = xs.withColumn("need", F.greatest(F.lit(0).cast("long"), F.ceil(F.col("w") + F.col("least_y") - EPS))).where(F.size("parts") >= F.col("need"))
-
-    def prefix(side):
-        # part null stands for pairs that need nothing in common; the others must share one of the first size - need + 1 parts
-        some = F.transform(F.slice("parts", F.lit(1), (F.size("parts") - F.greatest("need", F.lit(1).cast("long")) + 1).cast("int")), lambda p: p["part"])
-        none = F.when(F.col("need") == 0, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-        return side.withColumn("part", F.explode(F.concat(none, F.when(F.size("parts") > 0, some).otherwise(F.array().cast("array<bigint>")))))
-
-    x = prefix(xs).select("c", "part", "main", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("w").alias("wx"), F.size("parts").alias("px"))
-    y = prefix(ys).select("c", "part", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("w").alias("wy"), F.size("parts").alias("py"))
-    x, y = (t.withColumn("any", F.col("part").isNull()).withColumn("part", F.coalesce("part", F.lit(0))) for t in (x, y))
+    ys = keep(reaching(full, outer), "inner")
+    xs = keep(reaching(outer, ys), "outer")
+
+    def prefix(rows):
+        # the others must share one of the first size - need + 1 parts, unless they need nothing in common
+        least = F.greatest("need", F.lit(1).cast("long"))
+        empty = F.array().cast("array<struct<any:boolean,part:bigint>>")
+        first = F.transform(F.slice("parts", F.lit(1), (F.size("parts") - least + 1).cast("int")), lambda p: F.struct(F.lit(False).alias("any"), p["part"].alias("part")))
+        none = F.array(F.struct(F.lit(True).alias("any"), F.lit(0).cast("long").alias("part")))
+        keys = F.concat(F.when(F.col("need") == 0, none).otherwise(empty), F.when(F.size("parts") > 0, first).otherwise(empty))
+        return rows.withColumn("key", F.explode(keys)).withColumn("p", F.size("parts")).select("c", "main", "node", "root", "n", "most", "w", "p", "key.any", "key.part")
+
+    x = prefix(xs).toDF("c", "main", "x", "rx", "nx", "mx", "wx", "px", "any", "part")
+    y = prefix(ys).drop("main").toDF("c", "y", "ry", "ny", "my", "wy", "py", "any", "part")
     need = F.col("wx") + F.col("wy") - EPS
     apart = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny")
     reach = (F.least("mx", "my") >= SHARE * (F.col("nx") + F.col("ny")) - EPS) & F.when(F.col("any"), need <= 0).otherwise(F.least("px", "py") >= need)
-    pairs = x.join(y, ["c", "part", "any"]).where(apart & reach)
+    pairs = x.join(y, ["c", "any", "part"]).where(apart & reach)
     return pairs.groupBy("x", "y", "rx", "ry").agg(F.count("*").alias("met"))
 
 
@@ -299,6 +319,26 @@ def _once(pairs: DataFrame, done: DataFrame) -> DataFrame:
     return own.join(both, ["_l", "_g"], "left_anti").drop("_l", "_g")
 
 
+class _State:
+    """The pairs that were aligned, the links among them, and the classes that these make."""
+
+    def __init__(self, spark: SparkSession, keep: Scratch):
+        self.keep = keep
+        self.links = self.tried = spark.createDataFrame([], "a binary, b binary")
+        self.roots = spark.createDataFrame([], "node binary, root binary")
+
+    def align(self, pairs: DataFrame, seqs: DataFrame, name: str) -> None:
+        pairs = self.keep(_once(pairs.distinct(), self.tried), f"{name}-pairs")
+        fresh = self.keep(verified(pairs, seqs), f"{name}-links")
+        self.tried = self.tried.unionByName(pairs)
+        if not fresh.isEmpty():
+            self.links = self.links.unionByName(fresh)
+            self.roots = components(self.links, self.keep)
+
+    def rooted(self, nodes: DataFrame, node: str, root: str) -> DataFrame:
+        return nodes.join(self.roots.toDF(node, root), node, "left").withColumn(root, F.coalesce(root, node))
+
+
 def roots(docs: DataFrame) -> DataFrame:
     """(node, root) of all texts that have a link to another text."""
     spark = docs.sparkSession
@@ -309,27 +349,23 @@ def roots(docs: DataFrame) -> DataFrame:
         deal = Deal(["bucket"], sizes, sketches.count() * SKETCHES)
         met = keep(deal.join(rows, sizes, "inner", "node"), "met")
         scores = keep(met.groupBy("node").agg(F.sum("size").alias("score")), "scores")
-        met = met.drop("size")
-        texts = named(docs).join(scores.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        seqs = keep(sequences(texts), "sequences")
-
-        tried = keep(stars(sketches, scores, keep), "stars-tried")
-        found = keep(verified(tried, seqs), "links-0")
-        state = components(found, keep)
-        pairs = keep(rests(met, deal, state, scores, seqs, keep), "rests")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        texts = named(docs).repartition(parts, "node").join(scores.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        seqs = keep.bucketed(sequences(texts), "sequences", "node")
+
+        state = _State(spark, keep)
+        state.align(stars(sketches, scores, keep), seqs, "stars")
+        texts, own, members = able(met.drop("size"), deal, state.roots, seqs, keep)
+        pairs = state.rooted(state.rooted(members, "c", "rc"), "node", "rn").where("rc <> rn")
+        sizes = [texts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in ("c", "node")]
+        pairs = pairs.join(sizes[0], "c").join(sizes[1], "node").where(_fits("nc", "nnode"))
+        state.align(pairs.select(F.col("c").alias("a"), F.col("node").alias("b")), own, "centres")
+        pairs = keep(rests(members, state.rooted(texts, "node", "root"), own, keep), "rests")
         best = pairs.groupBy("x", "rx", "ry").agg(F.max_by("y", F.struct("met", "y")).alias("y"))
-        best = keep(_once(best.select(F.col("y").alias("a"), F.col("x").alias("b")).distinct(), tried), "best")
-        fresh = keep(verified(best, seqs), "links-1")
-        if not fresh.isEmpty():
-            found = found.unionByName(fresh)
-            state = components(found, keep)
-        now = [state.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "xy"]
-        left = pairs.select("x", "y").join(now[0], "x", "left").join(now[1], "y", "left").where(F.coalesce("rx", "x") != F.coalesce("ry", "y"))
-        left = keep(_once(left.select(F.col("y").alias("a"), F.col("x").alias("b")).distinct(), tried.unionByName(best)), "left")
-        fresh = keep(verified(left, seqs), "links-2")
-        if not fresh.isEmpty():
-            state = components(found.unionByName(fresh), keep)
-        return stored(state, "neardup-roots")
+        state.align(best.select(F.col("y").alias("a"), F.col("x").alias("b")), own, "best")
+        left = state.rooted(state.rooted(pairs.select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry")
+        state.align(left.select(F.col("y").alias("a"), F.col("x").alias("b")), own, "left")
+        return stored(state.roots, "neardup-roots")
 
 
 def classes(docs: DataFrame) -> DataFrame:
