@@ -14,8 +14,7 @@ Equal texts are one node throughout. Classes are the connected parts of the link
 2. They are aligned with the centre of their bucket, the text with the most common shingles.
 3. Each is described by its difference from the centre, the shingles that it lacks or has beside it. For two texts to reach the threshold their differences must have a certain number of shingles in common, which
    follows from their sizes; differences are joined by the rarest of their shingles, so many that two with enough in common
-   must share one of these. What a large group has in common is in no difference. Of these pairs first the best of each text and class
-   is aligned, then those that are still in different classes.
+   must share one of these. What a large group has in common is in no difference. These pairs are aligned.
 
 Defined results: null texts are in classes of their own and have no links; texts without words are linked to equal texts only;
 null ids come first; repeated rows are equal texts; of rows with equal ids and texts ``keep_first`` keeps any one. Texts of any length
@@ -28,14 +27,17 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shingles import mix, shingles
 from ._text import Deal, Scratch, key, stored, unkey
 from ._tokens import ranges
 
-SIMILARITY, SKETCHES, KEPT = 0.8, 16, 2
+#: At the least similarity two texts have a sketch in common with a chance of 0.8 ** KEPT; that they share none of all is one of 3e-8. With fewer
+#: kept shingles, texts that only share a passage would meet in most buckets.
+SIMILARITY, SKETCHES, KEPT = 0.8, 24, 3
+NEAR = 16
 CHARS = 4_000_000
 #: Two texts of n1 and n2 shingles are linked if they match at least this share of n1 + n2.
 SHARE = SIMILARITY / (1 + SIMILARITY)
@@ -50,19 +52,30 @@ def sketch(texts: pa.Array, sketches: int = SKETCHES) -> tuple[np.ndarray, np.nd
     out = np.zeros((len(sizes), sketches), np.uint64)
     if not len(full):
         return sizes, out
-    starts, owner = at[:-1][full], np.repeat(np.arange(len(full)), sizes[full])
+    every, owner = np.arange(len(full)), np.repeat(np.arange(len(full)), sizes[full])
     most = np.uint64(2**64 - 1)
+    # the least few lie among the values below a limit that some NEAR values of a text are expected to pass; where too few do, all are looked at
+    limit = np.full(len(full), most)
+    large = sizes[full] > NEAR
+    limit[large] = (NEAR / sizes[full][large] * 2.0**64).astype(np.uint64)
+    limit, least = limit[owner], np.minimum(sizes[full], KEPT)
     for j in range(sketches):
         v = mix(s ^ mix(np.full(1, j + 1, np.uint64) * np.uint64(0xD1B54A32D192ED03)))
-        places = []
+        near = v <= limit
+        few = np.bincount(owner[near], minlength=len(full)) < least
+        if few.any():
+            near |= few[owner]
+        where = np.flatnonzero(near)
+        own, v = owner[where], v[where]
+        starts, places = np.searchsorted(own, every), []
         for _ in range(KEPT):
-            least = np.minimum.reduceat(v, starts)
-            hit = np.flatnonzero(v == least[owner])
-            places.append(hit[np.searchsorted(owner[hit], np.arange(len(full)))])
-            v[places[-1]] = most
-        ordered = np.sort(np.stack(places), axis=0)
+            low = np.minimum.reduceat(v, starts)
+            hit = np.flatnonzero(v == low[own])
+            hit = hit[np.searchsorted(own[hit], every)]
+            places.append(where[hit])
+            v[hit] = most
         h = np.full(len(full), j + 1, np.uint64)
-        for p in ordered:
+        for p in np.sort(np.stack(places), axis=0):
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + s[p])
         out[full, j] = h
     return sizes, out
@@ -199,22 +212,22 @@ def differences(members: DataFrame, seqs: DataFrame) -> DataFrame:
 
 def shared(seqs: DataFrame) -> DataFrame:
     """(node, most): how many of a text's labelled shingles occur in another of these texts, which is the most that any alignment
-    between them can match."""
-    rows = seqs.select("node", F.explode("s").alias("shingle"))
-    once = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
-    lone = once.groupBy("node").agg(F.count("*").alias("lone"))
-    return seqs.select("node", F.size("s").alias("n")).join(lone, "node", "left").select("node", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("most"))
+    between them can match. Texts stand by a number on the way; where two have the same, all of their shingles count."""
+    numbered = seqs.withColumn("id", F.xxhash64("node"))
+    rows = numbered.select("id", F.explode("s").alias("shingle"))
+    once = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
+    lone = once.groupBy("id").agg(F.count("*").alias("lone"))
+    sizes = numbered.select("id", "node", F.size("s").alias("n")).groupBy("id").agg(F.collect_list(F.struct("node", "n")).alias("texts"))
+    most = F.col("t.n") - F.when(F.size("texts") > 1, 0).otherwise(F.coalesce("lone", F.lit(0)))
+    return sizes.join(lone, "id", "left").select("texts", "lone", F.explode("texts").alias("t")).select("t.node", most.alias("most"))
 
 
 def components(links: DataFrame, keep: Scratch) -> DataFrame:
-    """(node, root): the least node of each node's connected part, by spreading minima and jumping."""
-    both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    sizes = both.groupBy("b").agg(F.count("*").alias("size"))
-    deal = Deal(["b"], sizes, both.count())
-    edges = keep(deal.many(both, "a"), "dealt")
-    state = keep(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "roots")
+    """(node, root): the least node of each node's connected part, by spreading minima and jumping. links: (a, b), stored."""
+    edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    state = keep(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "roots")
     while True:
-        near = edges.join(deal.one(state.select(F.col("node").alias("b"), "root")), ["b", "_salt"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        near = edges.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         spread = state.join(near, "node").select("node", F.least("root", "near").alias("next"), "root")
         # a root is its own root, so only where it is another node is there anything to jump to
         jump = state.where("node <> root").select(F.col("node").alias("next"), F.col("root").alias("far"))
@@ -224,6 +237,17 @@ def components(links: DataFrame, keep: Scratch) -> DataFrame:
             return state
 
 
+def labels(stars: DataFrame, keep: Scratch) -> DataFrame:
+    """(node, label): equal labels are of one class. stars: linked (a, b), where a is before b in one order of all nodes, so parents make no ring."""
+    up = keep(stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "parents")
+    above = up.toDF("label", "above")
+    return keep(up.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label")), "labels")
+
+
+def labelled(nodes: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    return nodes.join(labels.toDF(node, label), node, "left").withColumn(label, F.coalesce(label, node))
+
+
 def _fits(x: str, y: str):
     return F.least(x, y) >= SIMILARITY * F.greatest(x, y) - EPS
 
@@ -240,7 +264,7 @@ def stars(sketches: DataFrame, scores: DataFrame, keep: Scratch) -> DataFrame:
     return met.where((F.col("a") != F.col("b")) & _fits("n", "na")).select("a", "b").distinct()
 
 
-def able(met: DataFrame, deal: Deal, state: DataFrame, seqs: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def able(met: DataFrame, deal: Deal, classes: DataFrame, seqs: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts (node, n, most) that share a bucket with one of another class and enough shingles with any, their shingles (node, s),
     and (c, node): the text c of each bucket whose shingles are the most common, and the texts of the bucket. met: (bucket, node, n)."""
 
@@ -248,7 +272,7 @@ def able(met: DataFrame, deal: Deal, state: DataFrame, seqs: DataFrame, keep: Sc
         two = rows.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("bucket")
         return deal.join(rows, two, "left_semi", "node")
 
-    rooted = keep(met.join(state, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    rooted = keep(labelled(met, classes, "node", "root"), "rooted")
     open_ = keep(mixed(rooted), "open")
     texts = open_.select("node", "n").distinct()
     most = shared(seqs.join(texts.select("node"), "node", "left_semi"))
@@ -256,8 +280,8 @@ def able(met: DataFrame, deal: Deal, state: DataFrame, seqs: DataFrame, keep: Sc
     own = keep(seqs.join(texts.select("node"), "node", "left_semi"), "able-sequences")
     rows = keep(mixed(open_.join(texts.select("node"), "node", "left_semi")), "able-open")
     each = own.select("node", F.explode("s").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
-    by_shingle = Deal(["shingle"], often, each.count())
+    often = keep(each.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1"), "shingles")
+    by_shingle = Deal(["shingle"], often, texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     common_ = by_shingle.join(each, often, "inner", "node").groupBy("node").agg(F.sum("size").alias("seen"))
     common_ = texts.join(common_, "node").select("node", (F.col("seen") / F.col("n")).alias("seen"))
     centres = rows.join(common_, "node").groupBy("bucket").agg(F.max_by("node", F.struct("seen", "node")).alias("c"))
@@ -265,19 +289,17 @@ def able(met: DataFrame, deal: Deal, state: DataFrame, seqs: DataFrame, keep: Sc
     return texts, own, keep(members, "members")
 
 
-def rests(members: DataFrame, texts: DataFrame, own: DataFrame, keep: Scratch) -> DataFrame:
-    """Pairs (x, y, rx, ry, met) of texts of different classes with one centre that can reach the threshold, and how many rare parts of
-    their differences they share. texts: (node, n, most, root)."""
-    rooted = members.join(texts, "node")
-    by_c = Deal(["c"], members.groupBy("c").agg(F.count("*").alias("size")), members.count())
+def rests(rooted: DataFrame, texts: DataFrame, own: DataFrame, keep: Scratch) -> DataFrame:
+    """Pairs (a, b) of texts of different classes with one centre whose differences leave it open that they reach the threshold. rooted: (c, node, root); texts: (node, n, most)."""
+    by_c = Deal(["c"], rooted.groupBy("c").agg(F.count("*").alias("size")), rooted.count())
     counts = rooted.groupBy("c", "root").agg(F.count("*").alias("k")).groupBy("c").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("classes"))
-    rooted = keep(by_c.join(rooted, counts.where("classes > 1").drop("classes"), "inner", "node"), "rooted-members")
+    rooted = keep(by_c.join(rooted.join(texts, "node"), counts.where("classes > 1").drop("classes"), "inner", "node"), "rooted-members")
     diffs = keep(differences(rooted, own).join(rooted, ["c", "node"]), "differences")
 
     # what one member only lacks or has is common to no two
     parts = diffs.select("c", "node", F.explode("difference").alias("part"))
     often = keep(parts.groupBy("c", "part").agg(F.count("*").alias("size")).where("size > 1"), "parts")
-    by_part = Deal(["c", "part"], often, parts.count())
+    by_part = Deal(["c", "part"], often, diffs.agg(F.coalesce(F.sum(F.size("difference")), F.lit(0))).first()[0])
     ranked = by_part.join(parts, often, "inner", "node").groupBy("c", "node").agg(F.sort_array(F.collect_list(F.struct("size", "part"))).alias("parts"))
     # of x and y at least SHARE * (nx + ny) shingles are matched; |x and y| = nc - |c less x| - |c less y| + parts in common
     weight = SHARE * F.col("n") + F.col("lacks") - F.col("nc") / 2
@@ -309,7 +331,7 @@ def rests(members: DataFrame, texts: DataFrame, own: DataFrame, keep: Scratch) -
     apart = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny")
     reach = (F.least("mx", "my") >= SHARE * (F.col("nx") + F.col("ny")) - EPS) & F.when(F.col("any"), need <= 0).otherwise(F.least("px", "py") >= need)
     pairs = x.join(y, ["c", "any", "part"]).where(apart & reach)
-    return pairs.groupBy("x", "y", "rx", "ry").agg(F.count("*").alias("met"))
+    return pairs.select(F.col("y").alias("a"), F.col("x").alias("b")).distinct()
 
 
 def _once(pairs: DataFrame, done: DataFrame) -> DataFrame:
@@ -319,26 +341,6 @@ def _once(pairs: DataFrame, done: DataFrame) -> DataFrame:
     return own.join(both, ["_l", "_g"], "left_anti").drop("_l", "_g")
 
 
-class _State:
-    """The pairs that were aligned, the links among them, and the classes that these make."""
-
-    def __init__(self, spark: SparkSession, keep: Scratch):
-        self.keep = keep
-        self.links = self.tried = spark.createDataFrame([], "a binary, b binary")
-        self.roots = spark.createDataFrame([], "node binary, root binary")
-
-    def align(self, pairs: DataFrame, seqs: DataFrame, name: str) -> None:
-        pairs = self.keep(_once(pairs.distinct(), self.tried), f"{name}-pairs")
-        fresh = self.keep(verified(pairs, seqs), f"{name}-links")
-        self.tried = self.tried.unionByName(pairs)
-        if not fresh.isEmpty():
-            self.links = self.links.unionByName(fresh)
-            self.roots = components(self.links, self.keep)
-
-    def rooted(self, nodes: DataFrame, node: str, root: str) -> DataFrame:
-        return nodes.join(self.roots.toDF(node, root), node, "left").withColumn(root, F.coalesce(root, node))
-
-
 def roots(docs: DataFrame) -> DataFrame:
     """(node, root) of all texts that have a link to another text."""
     spark = docs.sparkSession
@@ -353,19 +355,27 @@ def roots(docs: DataFrame) -> DataFrame:
         texts = named(docs).repartition(parts, "node").join(scores.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
         seqs = keep.bucketed(sequences(texts), "sequences", "node")
 
-        state = _State(spark, keep)
-        state.align(stars(sketches, scores, keep), seqs, "stars")
-        texts, own, members = able(met.drop("size"), deal, state.roots, seqs, keep)
-        pairs = state.rooted(state.rooted(members, "c", "rc"), "node", "rn").where("rc <> rn")
-        sizes = [texts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in ("c", "node")]
-        pairs = pairs.join(sizes[0], "c").join(sizes[1], "node").where(_fits("nc", "nnode"))
-        state.align(pairs.select(F.col("c").alias("a"), F.col("node").alias("b")), own, "centres")
-        pairs = keep(rests(members, state.rooted(texts, "node", "root"), own, keep), "rests")
-        best = pairs.groupBy("x", "rx", "ry").agg(F.max_by("y", F.struct("met", "y")).alias("y"))
-        state.align(best.select(F.col("y").alias("a"), F.col("x").alias("b")), own, "best")
-        left = state.rooted(state.rooted(pairs.select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry")
-        state.align(left.select(F.col("y").alias("a"), F.col("x").alias("b")), own, "left")
-        return stored(state.roots, "neardup-roots")
+        tried = keep(stars(sketches, scores, keep), "star-pairs")
+        linked = keep(verified(tried, seqs), "star-links")
+        known = labels(linked, keep)
+        texts, own, members = able(met.drop("size"), deal, known, seqs, keep)
+        members = keep(labelled(labelled(members, known, "c", "rc"), known, "node", "rn"), "labelled")
+        ends = members.where("rc <> rn").join(texts.select(F.col("node").alias("c"), F.col("n").alias("nc")), "c").join(texts.select("node", "n"), "node")
+        pairs = keep(_once(ends.where(_fits("nc", "n")).select(F.col("c").alias("a"), F.col("node").alias("b")), tried), "centre-pairs")
+        tried, centred = tried.unionByName(pairs), keep(verified(pairs, own), "centre-links")
+        linked = linked.unionByName(centred)
+        # beside one centre all that are linked to it are of its class
+        with_centre = members.join(centred.select(F.col("a").alias("c"), F.col("b").alias("node"), F.lit(True).alias("met")), ["c", "node"], "left")
+        rooted = keep(with_centre.select("c", "node", F.when(F.col("met"), F.col("rc")).otherwise(F.col("rn")).alias("root")), "rooted-members")
+        left = keep(_once(rests(rooted, texts, own, keep), tried), "rests")
+        linked = linked.unionByName(keep(verified(left, own), "last-links"))
+
+        # what is linked by labels counts as one
+        ends = labelled(labelled(linked, known, "a", "la"), known, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        whole = components(keep(ends.where("a <> b").distinct(), "label-links"), keep).toDF("label", "root")
+        nodes = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).distinct()
+        nodes = labelled(nodes, known, "node", "label").join(whole, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+        return stored(nodes, "neardup-roots")
 
 
 def classes(docs: DataFrame) -> DataFrame:
