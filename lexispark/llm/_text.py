@@ -110,3 +110,16 @@ class Deal:
 
     def join(self, many: DataFrame, one: DataFrame, how: str, *spread: str) -> DataFrame:
         return self.many(many, *spread).join(self.one(one), [*self.keys, "_salt"], how).drop("_salt")
+
+
+#: A filter of keys has at most this many rows of 64 bits each: its size does not grow with the data.
+FILTER_ROWS = 2**18
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``keys``, and with all whose key is: a bit for each hash, so that rows
+    need not be shuffled only to be dropped. An exact join must follow; the more keys there are, the less is left to gain."""
+    slot, bit = F.pmod(F.xxhash64(key), F.lit(FILTER_ROWS)).alias("_slot"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({key}, 1), 64) AS INT))").alias("_bit")
+    bits = keys.select(slot, bit).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.withColumns({"_slot": slot, "_bit": bit}).join(F.broadcast(bits), "_slot")
+    return met.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_slot", "_bit", "_bits")

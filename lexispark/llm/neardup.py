@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shingles import mix, shingles
-from ._text import Deal, Scratch, key, stored, unkey
+from ._text import Deal, Scratch, key, maybe_in, stored, unkey
 from ._tokens import ranges
 
 #: At the least similarity two texts have a sketch in common with a chance of 0.8 ** KEPT; that they share none of all is one of 3e-8. With fewer
@@ -352,7 +352,7 @@ def roots(docs: DataFrame) -> DataFrame:
         met = keep(deal.join(rows, sizes, "inner", "node"), "met")
         scores = keep(met.groupBy("node").agg(F.sum("size").alias("score")), "scores")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        texts = named(docs).repartition(parts, "node").join(scores.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        texts = maybe_in(named(docs), scores, "node").repartition(parts, "node").join(scores.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
         seqs = keep.bucketed(sequences(texts), "sequences", "node")
 
         tried = keep(stars(sketches, scores, keep), "star-pairs")
