@@ -17,9 +17,8 @@ def _parts(c: Column) -> Column:
     return F.filter(F.array(part("head"), part("tail")), whole)
 
 
-def follow_links(chunks: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
-    """(sentence_id, source_id, genre, chunk_id, path): from each chunk the chunks it leads to, itself first. The chunks of a sentence are gathered
-    once and links are followed inside the row, so there is one shuffle whatever the length of paths."""
+def _paths(chunks: DataFrame, max_links: int) -> DataFrame:
+    """(sentence_id, source_id, genre, paths): a row for each sentence with the (chunk_id, path) of its chunks."""
     cols = [c for c in chunks.columns if c not in ("sentence_id", "source_id", "genre")]
     rows = chunks.groupBy("sentence_id", "source_id", "genre").agg(F.sort_array(F.collect_list(F.struct("chunk_id", *[c for c in cols if c != "chunk_id"]))).alias("cs"))
 
@@ -30,15 +29,21 @@ def follow_links(chunks: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
             steps.append(F.when(at >= 0, F.get("cs", at)))
         return F.filter(F.array(*steps), lambda x: x.isNotNull())
 
-    return rows.select("sentence_id", "source_id", "genre", F.explode("cs").alias("c"), "cs").select("sentence_id", "source_id", "genre", F.col("c.chunk_id").alias("chunk_id"), path(F.col("c")).alias("path"))
+    # paths are made inside the row, so that only they are exploded, not the sentence beside each of them
+    return rows.select("sentence_id", "source_id", "genre", F.transform("cs", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), path(c).alias("path"))).alias("paths"))
+
+
+def follow_links(chunks: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
+    """(sentence_id, source_id, genre, chunk_id, path): from each chunk the chunks it leads to, itself first. The chunks of a sentence are gathered
+    once and links are followed inside the row, so there is one shuffle whatever the length of paths."""
+    return _paths(chunks, max_links).select("sentence_id", "source_id", "genre", F.explode("paths").alias("p")).select("sentence_id", "source_id", "genre", "p.chunk_id", "p.path")
 
 
-def extract_collocations(chunks: DataFrame, max_n: int = 4, max_links: int = MAX_LINKS) -> DataFrame:
-    """(sentence_id, source_id, genre, chunk_id, n, parts, type): every prefix of 1 to ``max_n`` parts along each path."""
+def extract_collocations(chunks: DataFrame, max_n: int = 4, max_links: int = MAX_LINKS, min_n: int = 1) -> DataFrame:
+    """(sentence_id, source_id, genre, chunk_id, n, parts, type): every prefix of ``min_n`` to ``max_n`` parts along each path."""
     p = follow_links(chunks, max_links)
-    p = p.withColumn("all", F.flatten(F.transform("path", _parts))).where(F.size("all") > 0)
-    n = F.explode(F.sequence(F.lit(1), F.least(F.lit(max_n), F.size("all"))))
-    g = p.select("sentence_id", "source_id", "genre", "chunk_id", n.alias("n"), "all")
+    p = p.select("sentence_id", "source_id", "genre", "chunk_id", F.slice(F.flatten(F.transform("path", _parts)), 1, max_n).alias("all")).where(F.size("all") >= min_n)
+    g = p.withColumn("n", F.lit(min_n) if min_n == max_n else F.explode(F.sequence(F.lit(min_n), F.size("all"))))
     parts = F.slice("all", F.lit(1), F.col("n"))
     return g.select("sentence_id", "source_id", "genre", "chunk_id", "n", parts.alias("parts"), F.array_join(F.transform(parts, lambda x: x["pos"]), "_").alias("type"))
 

@@ -178,14 +178,14 @@ def _sampled(df, **k):
 
 @query("c08_sample_sentences", _SAMPLE.replace("{hit}", "SELECT DISTINCT sentence_id, source_id, genre FROM grams WHERE n = 2 AND type = 'noun_particle' AND parts[2].string = 'the'").replace("{sort}", ""))
 def sample_sentences(spark, sf):
-    g = grams.extract_collocations(V.chunks(spark, sf))
+    g = grams.extract_collocations(V.chunks(spark, sf), 2, min_n=2)
     return _sampled(search.gram_hits(g, "noun_particle", {2: "the"}))
 
 
 @query("c08_sample_sentences_sorted", _SAMPLE.replace("{hit}", "SELECT sentence_id, source_id, genre, any_value(c) AS c FROM grams JOIN (SELECT sentence_id, count(*) AS c FROM chunks GROUP BY 1) USING (sentence_id) WHERE n = 2 AND type = 'noun_particle' AND parts[2].string = 'the' GROUP BY ALL").replace("{sort}", "abs(4 - c),"))
 def sample_sentences_sorted(spark, sf):
     c = V.chunks(spark, sf)
-    hits = search.gram_hits(grams.extract_collocations(c), "noun_particle", {2: "the"}).join(c.groupBy("sentence_id").agg(F.count("*").alias("c")), "sentence_id")
+    hits = search.gram_hits(grams.extract_collocations(c, 2, min_n=2), "noun_particle", {2: "the"}).join(c.groupBy("sentence_id").agg(F.count("*").alias("c")), "sentence_id")
     return _sampled(hits, sort=F.abs(4 - F.col("c")), order="sorted")
 
 
@@ -284,7 +284,7 @@ def extract_unigrams(spark, sf):
 
 @query("d04_gram_view_2", "SELECT sentence_id, parts[1].string AS string_1, parts[1].pos AS pos_1, parts[1].begin AS begin_1, parts[1].\"end\" AS end_1, parts[2].string AS string_2, parts[2].pos AS pos_2, parts[2].begin AS begin_2, parts[2].\"end\" AS end_2 FROM grams WHERE n = 2")
 def gram_view_2(spark, sf):
-    return grams.gram_view(grams.extract_collocations(V.chunks(spark, sf)), 2).drop("source_id", "genre")
+    return grams.gram_view(grams.extract_collocations(V.chunks(spark, sf), 2, min_n=2), 2).drop("source_id", "genre")
 
 
 @query("d05_complete_trigrams", "SELECT sentence_id, parts[1].string AS string_1, parts[2].string AS string_2, parts[3].string AS string_3 FROM grams WHERE n = 3 UNION SELECT sentence_id, parts[1].string, parts[2].string, parts[3].string FROM grams WHERE n = 4")
@@ -342,7 +342,7 @@ def search_tokens(spark, sf):
 
 
 def gram_table(spark, sf, n, right_part=None):
-    g = grams.gram_view(grams.extract_collocations(V.chunks(spark, sf)), n)
+    g = grams.gram_view(grams.extract_collocations(V.chunks(spark, sf), n, min_n=n), n)
     t = F.concat_ws("_", *[F.col(f"pos_{i + 1}") for i in range(n)])
     return aggregates.search_gram(g.withColumn("type", t), n, right_part)
 
@@ -360,13 +360,13 @@ for _n in (1, 2, 3, 4):
 
 @query("e05_marginal_f_ix", "SELECT type, parts[1].string AS string_1, array_to_string(genre, '.') AS genre, count(*) AS f_ix FROM grams WHERE n = 2 GROUP BY ALL")
 def marginal_f_ix(spark, sf):
-    g = grams.extract_collocations(V.chunks(spark, sf)).where("n = 2").withColumn("string_1", F.get("parts", F.lit(0))["string"])
+    g = grams.extract_collocations(V.chunks(spark, sf), 2, min_n=2).withColumn("string_1", F.get("parts", F.lit(0))["string"])
     return genre_text(aggregates.marginal(g, "string_1", "f_ix"))
 
 
 @query("e06_marginal_f_xi", "SELECT type, parts[3].string AS string_3, array_to_string(genre, '.') AS genre, count(*) AS f_xi FROM grams WHERE n = 4 GROUP BY ALL")
 def marginal_f_xi(spark, sf):
-    g = grams.extract_collocations(V.chunks(spark, sf)).where("n = 4").withColumn("string_3", F.get("parts", F.lit(2))["string"])
+    g = grams.extract_collocations(V.chunks(spark, sf), 4, min_n=4).withColumn("string_3", F.get("parts", F.lit(2))["string"])
     return genre_text(aggregates.marginal(g, "string_3", "f_xi"))
 
 

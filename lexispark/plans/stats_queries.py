@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
@@ -9,7 +11,7 @@ from ..functions import paths, text
 from ..operators import aggregates, annotate, collocations, embed, evaluate, readability, register, sampling, search, topics
 from ..sources import readers, writers
 from . import views as V
-from .corpus_queries import genre_norm_table, genre_text, gram_norm_table, gram_sql, gram_table, node_text, tree_sql
+from .corpus_queries import genre_norm_table, genre_text, gram_sql, gram_table, node_text, tree_sql
 from .registry import query
 
 #: Brand and type pairs, aggregated: the table that measures run on.
@@ -643,12 +645,12 @@ def saved_match_names(spark, sf):
 @query("a11_write_search_tables", gram_sql(1) + " SELECT type, string_1, array_to_string(genre, '.') AS genre, count FROM sg1")
 def write_search_tables(spark, sf):
     """The table as it is read back after a write partitioned by type."""
-    import tempfile
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexispark-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="lexispark-")
     folder = f"{where.rstrip('/')}/tables-{abs(hash(sf)) % 10**9}-{spark.sparkContext.applicationId}"
     writers.write_search_tables({"search_gram_1": gram_table(spark, sf, 1)}, folder, {"search_gram_1": "type"})
     return genre_text(spark.read.parquet(f"{folder}/search_gram_1")).select("type", "string_1", "genre", "count")
 
-
-_ = gram_norm_table

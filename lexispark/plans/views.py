@@ -118,14 +118,14 @@ pars AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS par FROM (
     SELECT *, list_filter(list_transform(regexp_extract_all(line, '[^.!?]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM pars0) WHERE len(ss) > 0),
 sents0 AS (SELECT doc_id, lang, source, par, unnest(ss) AS text, generate_subscripts(ss, 1) AS j FROM pars),
-sentences AS (
+sentences AS MATERIALIZED (
   SELECT doc_id * 1000000 + n AS sentence_id, doc_id AS source_id, CAST(par AS INTEGER) AS paragraph_order_id, CAST(n AS INTEGER) AS sentence_order_id, text,
          CASE WHEN length(text) % 7 = 0 THEN ['speech'] WHEN length(text) % 5 = 0 THEN ['quotation'] ELSE CAST([] AS VARCHAR[]) END AS tags,
          CAST(length(text) AS INTEGER) AS length, [lang, source] AS genre
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY par, j) AS n FROM sents0)),
 toks0 AS (SELECT sentence_id, source_id, genre, unnest(regexp_extract_all(text, '\p{L}+|[0-9]+|[^\p{L}0-9\s]')) AS orth,
                  generate_subscripts(regexp_extract_all(text, '\p{L}+|[0-9]+|[^\p{L}0-9\s]'), 1) - 1 AS position FROM sentences),
-tokens AS (
+tokens AS MATERIALIZED (
   SELECT sentence_id, source_id, genre, CAST(position AS INTEGER) AS position, orth, lower(orth) AS lemma, lower(orth) AS orth_base,
          CASE WHEN NOT regexp_matches(orth, '^[0-9]') AND NOT regexp_matches(orth, '^\p{L}') THEN 'symbol' WHEN regexp_matches(orth, '^[0-9]') THEN 'noun'
               WHEN length(orth) <= 3 THEN 'particle' WHEN length(orth) % 3 = 0 THEN 'verb' WHEN length(orth) % 3 = 1 THEN 'noun' ELSE 'adjective' END AS pos_1,
@@ -142,13 +142,13 @@ chunks0 AS (
          max(orth_base) FILTER (pos_1 = 'particle') AS tail_string, max(pos_1) FILTER (pos_1 = 'particle') AS tail_pos,
          max(e - length(orth)) FILTER (pos_1 = 'particle') AS tail_begin, max(e) FILTER (pos_1 = 'particle') AS tail_end, count(*) AS n_tokens
   FROM toks1 GROUP BY ALL),
-chunks AS (
+chunks AS MATERIALIZED (
   SELECT sentence_id, source_id, genre, CAST(chunk_id AS INTEGER) AS chunk_id,
          CAST(CASE WHEN chunk_id = n - 1 THEN -1 WHEN chunk_id % 3 = 0 AND chunk_id + 2 < n THEN chunk_id + 2 ELSE chunk_id + 1 END AS INTEGER) AS link,
          head_string, head_pos, CAST(head_begin AS INTEGER) AS head_begin, CAST(head_end AS INTEGER) AS head_end, tail_string, tail_pos,
          CAST(tail_begin AS INTEGER) AS tail_begin, CAST(tail_end AS INTEGER) AS tail_end, n_tokens
   FROM (SELECT *, count(*) OVER (PARTITION BY sentence_id) AS n FROM chunks0)),
-cparts AS (
+cparts AS MATERIALIZED (
   SELECT *, list_filter([{'string': head_string, 'pos': head_pos, 'begin': head_begin, 'end': head_end}, {'string': tail_string, 'pos': tail_pos, 'begin': tail_begin, 'end': tail_end}], lambda x: x.string IS NOT NULL) AS parts FROM chunks),
 paths AS (
   SELECT a.sentence_id, a.source_id, a.genre, a.chunk_id,
@@ -156,7 +156,7 @@ paths AS (
   FROM cparts a LEFT JOIN cparts b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link
     LEFT JOIN cparts c ON c.sentence_id = a.sentence_id AND c.chunk_id = b.link LEFT JOIN cparts d ON d.sentence_id = a.sentence_id AND d.chunk_id = c.link
     LEFT JOIN cparts f ON f.sentence_id = a.sentence_id AND f.chunk_id = d.link),
-grams AS (
+grams AS MATERIALIZED (
   SELECT sentence_id, source_id, genre, chunk_id, CAST(n AS INTEGER) AS n, parts[1:n] AS parts, array_to_string(list_transform(parts[1:n], lambda x: x.pos), '_') AS type
   FROM paths, unnest(range(1, 5)) AS u(n) WHERE n <= len(parts)),
 pairs AS (

@@ -64,22 +64,27 @@ DAILY = {
     "１４": "文化", "１５": "読書", "１６": "科学", "１７": "生活", "１８": "芸能", "３５": "スポーツ", "４１": "社会",
 }
 EVENING = {
-    "Ｑ": "皇室", "Ｒ": "国際|アジア 太平洋|南北アメリカ|西欧|旧ソ連・東欧|中東|アフリカ", "Ｓ": "科学|宇宙|地球|理工学|生命工学|動植物", "Ｔ": "犯罪・事件|事故|災害",
-    "Ｕ": "生活|健康|衣|食|住|余暇|行事", "Ｖ": "文化|学術|美術|映像|文学|音楽|演劇|芸能|舞踊|宗教", "Ｗ": "スポーツ|巨人軍",
-    "Ｘ": "社会|市民運動|社会保障|環境|婦人|子供|中高年|勲章・賞|労働|教育",
-    "Ｙ": "経済|財政|金融|企業|中小企業|技術|情報|サービス|貿易|国土・都市計画|鉱工業|資源・エネルギー|農林水産",
-    "Ｚ": "政治|右翼・左翼|選挙|行政|地方自治|司法|警察|日本外交|軍事|戦争",
+    "Ｑ０１": "皇室",
+    "Ｒ０１": "国際", "Ｒ０２": "アジア 太平洋", "Ｒ０３": "南北アメリカ", "Ｒ０４": "西欧", "Ｒ０５": "旧ソ連・東欧", "Ｒ０６": "中東", "Ｒ０７": "アフリカ",
+    "Ｓ０１": "科学", "Ｓ０２": "宇宙", "Ｓ０３": "地球", "Ｓ０４": "理工学", "Ｓ０５": "生命工学", "Ｓ０６": "動植物",
+    "Ｔ０１": "犯罪・事件", "Ｔ０２": "事故", "Ｔ０３": "災害",
+    "Ｕ０１": "生活", "Ｕ０２": "健康", "Ｕ０３": "衣", "Ｕ０４": "食", "Ｕ０５": "住", "Ｕ０６": "余暇", "Ｕ０７": "行事",
+    "Ｖ０１": "文化", "Ｖ０２": "学術", "Ｖ０３": "美術", "Ｖ０４": "映像", "Ｖ０５": "文学", "Ｖ０６": "音楽", "Ｖ０７": "演劇", "Ｖ０８": "芸能", "Ｖ０９": "舞踊",
+    "Ｖ１０": "宗教",
+    "Ｗ０１": "スポーツ", "Ｗ０２": "巨人軍",
+    "Ｘ０１": "社会", "Ｘ０２": "市民運動", "Ｘ０３": "社会保障", "Ｘ０４": "環境", "Ｘ０５": "婦人", "Ｘ０６": "子供", "Ｘ０７": "中高年", "Ｘ０８": "勲章・賞",
+    "Ｘ０９": "労働", "Ｘ１０": "教育",
+    "Ｙ０１": "経済", "Ｙ０２": "財政", "Ｙ０３": "金融", "Ｙ０４": "企業", "Ｙ０５": "中小企業", "Ｙ０６": "技術", "Ｙ０７": "情報", "Ｙ０８": "サービス", "Ｙ０９": "貿易",
+    "Ｙ１０": "国土・都市計画", "Ｙ１１": "鉱工業", "Ｙ１２": "資源・エネルギー", "Ｙ１３": "農林水産",
+    "Ｚ０１": "政治", "Ｚ０２": "右翼・左翼", "Ｚ０３": "選挙", "Ｚ０４": "行政", "Ｚ０５": "地方自治", "Ｚ０６": "司法", "Ｚ０７": "警察", "Ｚ０８": "日本外交",
+    "Ｚ０９": "軍事", "Ｚ１０": "戦争",
+    "": "不明",
 }
 
 
 def section_names() -> dict[str, list[str]]:
-    """Section code -> genre path. The codes of the second newspaper are a letter and the section's number in two wide digits."""
-    wide = str.maketrans("0123456789", "０１２３４５６７８９")
-    out = {k: ["新聞", "毎日新聞", v] for k, v in DAILY.items()}
-    for letter, names in EVENING.items():
-        for i, name in enumerate(names.split("|"), 1):
-            out[letter + f"{i:02}".translate(wide)] = ["新聞", "読売新聞", name]
-    return out | {"": ["新聞", "読売新聞", "不明"]}
+    """Section code -> genre path."""
+    return {k: ["新聞", paper, v] for paper, names in (("毎日新聞", DAILY), ("読売新聞", EVENING)) for k, v in names.items()}
 
 
 def parse_tagged_docs(lines: DataFrame) -> DataFrame:
