@@ -352,7 +352,8 @@ def roots(docs: DataFrame) -> DataFrame:
         met = keep(deal.join(rows, sizes, "inner", "node"), "met")
         scores = keep(met.groupBy("node").agg(F.sum("size").alias("score")), "scores")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        texts = maybe_in(named(docs), scores, "node").repartition(parts, "node").join(scores.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        # an inner join, since a semi-join would be pushed below the filter and shuffle all texts
+        texts = maybe_in(named(docs), scores, "node").repartition(parts, "node").join(scores.select("node"), "node").groupBy("node").agg(F.first("text").alias("text"))
         seqs = keep.bucketed(sequences(texts), "sequences", "node")
 
         tried = keep(stars(sketches, scores, keep), "star-pairs")
