@@ -3,7 +3,7 @@
 Documents are encoded where they lie. Only the counts of the remainders' lengths (at most ``size`` - 1 of them, whatever
 the input) reach the driver, which plans patterns of lengths and how often each is used: for the longest piece left, its
 gap is filled exactly by one length, by a pair or by a triple found in indexes of sums, as often as counts allow; what is
-left goes best-fit. Pieces then take their places by rank within their length, counted in salted groups.
+left goes best-fit, with the last fillings where that is shorter. Pieces then take their places by rank within their length, counted in salted groups.
 
 Defined results: null text: the end id alone; null ids are kept; repeated rows are packed one by one; no piece is ever dropped or cut except texts
 of more than ``size`` tokens. Tables may be empty.
@@ -12,9 +12,9 @@ of more than ``size`` tokens. Tables may be empty.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections import Counter, defaultdict
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ from ._tokens import encoder, ranges
 from ._text import stored
 
 SIZE, END_ID = 1024, 2
+#: Points at which the plan may stop to keep exact fillings.
+STOPS = 64
 #: Rows of one length that are ranked in one group.
 ROWS_A_SALT, LEAST_SALTS = 50_000, 32
 
@@ -53,59 +55,70 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, times) that use each length as often as it is counted; no pattern is longer than ``size``. Exact
-    fillings can use up the short pieces that best-fit would close gaps with, so the plan is made with fillings of up to
-    three, two, one and no partners, and the shortest is taken."""
-    return min((_plan(counts, size, most) for most in (3, 2, 1, 0)), key=lambda p: sum(t for _, t in p))
-
-
-def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths, times) that use each length as often as it is counted; no pattern is longer than ``size``. Exact fillings
+    come first, then best-fit. They can use up the short pieces that best-fit closes gaps with: the last fillings are given back
+    to best-fit where that makes the plan shorter, and as many are kept as the shortest plan allows."""
+    exact = exact_fillings(counts, size)
+    plans = []
+    for kept in sorted({len(exact) * i // STOPS for i in range(STOPS + 1)}, reverse=True):
+        left = Counter({k: v for k, v in counts.items() if v})
+        for pattern, times in exact[:kept]:
+            left.subtract({k: v * times for k, v in Counter(pattern).items()})
+        plans.append(exact[:kept] + best_fit(+left, size))
+    return min(plans, key=lambda p: sum(t for _, t in p))
+
+
+def exact_fillings(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns that fill ``size`` exactly: each length alone, then with one, two and three partners, found by the gap that it
+    leaves in indexes of single, pair and triple sums. A pattern is used as often as the counts allow, so one of its lengths is
+    used up but for fewer pieces than the pattern needs. Longer pieces come first; partners are as equal as can be, which spares short pieces."""
     left = Counter({k: v for k, v in counts.items() if v})
+    lengths = sorted(left)
+    pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for a in lengths:
+        for b in itertools.takewhile(lambda b: b <= a and a + b < size, lengths):
+            pairs[a + b].append((a, b))
+    # of triples (a, b, c) with a >= b >= c the index holds a; b and c are the pairs of what is left
+    triples: dict[int, list[int]] = defaultdict(list)
+    for a in lengths:
+        for rest in pairs:
+            if a + rest < size and rest <= 2 * a:
+                triples[a + rest].append(a)
     done: list[tuple[tuple[int, ...], int]] = []
 
-    def use(pattern: tuple[int, ...]) -> bool:
+    def use(pattern: tuple[int, ...]) -> None:
         need = Counter(pattern)
-        times = min((left[k] // v for k, v in need.items()), default=0)
+        times = min(left[k] // v for k, v in need.items())
         if times:
             done.append((pattern, times))
-            for k, v in need.items():
-                left[k] -= v * times
-                if not left[k]:
-                    del left[k]
-        return bool(times)
-
-    # indexes of the ways to sum to a length, made when first asked for; what has run out since is passed over by use()
-    @cache
-    def pairs(total: int) -> list[tuple[int, int]]:
-        return [(total - a, a) for a in range(total // 2, 0, -1) if a in left and total - a in left]
-
-    def triples(total: int):
-        for c in sorted((x for x in left if 3 * x >= total and x < total - 1), reverse=True):
-            yield from ((c, a, b) for a, b in pairs(total - c) if a <= c)
-
-    # exact fillings, the longest pieces first: they have the fewest partners
-    for whole in sorted(left, reverse=True):
-        gap = size - whole
-        if not gap:
-            use((whole,))
-        elif most:
-            use((whole, gap))
-        for ways in (pairs, triples)[: max(0, most - 1)]:
-            for way in ways(gap) if whole in left and gap > 1 else ():
-                if whole not in left:
+            left.subtract({k: v * times for k, v in need.items()})
+
+    ways = (
+        lambda gap: [()] if not gap else [],
+        lambda gap: [(gap,)],
+        lambda gap: pairs.get(gap, ()),
+        lambda gap: ((a, b, c) for a in triples.get(gap, ()) if left[a] for b, c in pairs[gap - a] if b <= a),
+    )
+    for way in ways:
+        for whole in reversed(lengths):
+            for partners in way(size - whole) if left[whole] else ():
+                if not left[whole]:
                     break
-                use((whole, *way))
-    # the rest: each length goes to the fullest open pattern that it fits
+                use((whole, *partners))
+    return done
+
+
+def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of all lengths, the longest first: each goes to the fullest open pattern that it fits."""
     open_: dict[int, list[list]] = defaultdict(list)
     gaps: list[int] = []
-    for length in sorted(left, reverse=True):
-        n = left[length]
+    for length in sorted(counts, reverse=True):
+        n = counts[length]
         while n:
             at = bisect.bisect_left(gaps, length)
-            if at == len(gaps):
-                pattern, times, gap = (), n, size  # each opens a pattern; several fit into one
+            if at == len(gaps):  # each opens a pattern; several fit into one
                 per = size // length
-                whole, rest = divmod(times, per)
+                whole, rest = divmod(n, per)
                 for p, t in (((length,) * per, whole), ((length,) * rest, 1)):
                     if t and p:
                         _put(open_, gaps, size - sum(p), [p, t])
@@ -121,7 +134,7 @@ def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int,
                 _put(open_, gaps, gap, [pattern, times - t])
             _put(open_, gaps, gap - length, [(*pattern, length), t])
             n -= t
-    return done + [(p, t) for x in open_.values() for p, t in x]
+    return [(p, t) for x in open_.values() for p, t in x]
 
 
 def _put(open_: dict, gaps: list[int], gap: int, item: list) -> None:

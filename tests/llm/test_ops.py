@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -107,6 +108,15 @@ def test_plan_uses_every_length_once(counts):
     assert used == collections.Counter(counts)
     total = sum(k * v for k, v in counts.items())
     assert -(-total // 64) <= sum(t for _, t in patterns) <= max(1, 2 * total // 64 + 1)
+    assert sum(t for _, t in patterns) <= sum(t for _, t in packing.best_fit(counts, 64))
+    exact = packing.exact_fillings(counts, 64)
+    assert all(sum(p) == 64 and t > 0 for p, t in exact)
+    left = collections.Counter(counts)
+    for p, t in exact:
+        left.subtract({x: n * t for x, n in collections.Counter(p).items()})
+    assert min(left.values(), default=0) >= 0
+    open_ = [x for x in left.elements()]
+    assert not any(sum(c) == 64 for k in (1, 2) for c in itertools.combinations(open_, k))
 
 
 @pytest.mark.parametrize("counts, best", [({600: 2, 424: 2}, 2), ({600: 3, 300: 3, 124: 3}, 3), ({512: 4, 256: 2, 128: 4}, 3), ({1024: 5}, 5), ({400: 1, 300: 1, 200: 1, 124: 1}, 1)])
@@ -114,6 +124,13 @@ def test_exact_fillings_are_found(counts, best):
     assert sum(t for _, t in packing.plan(counts)) == best
 
 
+def test_plan_of_documents_is_near_the_bound(docs):
+    counts = {r["length"]: r["count"] for r in packing.pieces(docs, BYTE).groupBy("length").count().collect()}
+    patterns, bound = packing.plan(counts), -(-sum(k * v for k, v in counts.items()) // 1024)
+    assert sum(t for _, t in patterns) <= bound + 1
+    assert {len(p) for p, _ in patterns if sum(p) == 1024} >= {1, 2, 3}
+
+
 def test_packing(odd, docs, none):
     encode = ids_of(BYTE)
     for df in (odd, docs.limit(60)):
