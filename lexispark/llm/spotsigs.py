@@ -5,7 +5,7 @@ set of a text's signatures; the likeness of two is their Jaccard coefficient. Wo
 A text without any full chain has its whole text as its only signature, so it is like equal texts alone.
 
 Defined results: null text counts as empty; null ids are one id below all others; rows that repeat both doc_id and text
-are fingerprinted once; different texts under one id are ordered by a hash of the text. With a single document the next
+each give the same row and take one place in the order; different texts under one id are ordered by a hash of the text. With a single document the next
 document is itself. Tables may be empty.
 """
 
@@ -107,8 +107,7 @@ def compare_edited(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     placed = texts.join(order.hint("shuffle_merge"), ["d", "h"])
     heads = placed.select(F.col("pd").alias("d"), F.col("ph").alias("h"), F.substring("text", F.lit(1), F.col("p_half")).alias("head"), signatures(F.col("text")).alias("next_sigs"))
     heads = heads.groupBy("d", "h").agg(F.first("head").alias("head"), F.first("next_sigs").alias("next_sigs"))
-    once = placed.select("d", "h", "text", "n").groupBy("d", "h").agg(F.first("text").alias("text"), F.first("n").alias("n"))
-    both = once.join(heads.hint("shuffle_merge"), ["d", "h"])
+    both = placed.select("d", "h", "text", "n").join(heads.hint("shuffle_merge"), ["d", "h"])
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - F.floor(F.col("n") / 2).cast("int")), F.col("head"))
     full = both.select("d", "n", edited.alias("edited"), signatures(F.col("text")).alias("own"), "next_sigs").withColumn("edited_sigs", signatures(F.col("edited")))
     return full.select(
