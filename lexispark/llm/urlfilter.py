@@ -2,10 +2,12 @@
 
 Two variable-order Markov models, of accepted and of rejected URLs, give each character a probability from the longest
 context (up to ORDER characters) that was seen, interpolated with shorter ones. A URL that no rule decides is judged by the
-difference of the two log-likelihoods divided by its length, against a cut calibrated on the ruled URLs. Training counts every ruled URL.
+difference of the two log-likelihoods divided by its length, against a cut calibrated on the ruled URLs. Training counts every ruled URL;
+for the calibration each ruled URL is scored by models of the other half (by hash), so the cut never rests on URLs a model has seen.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule, and is allowed; so is every undecided URL when
-either class has no training URL. A URL whose host is empty after ``://`` is undecided like others. Repeated rows get equal verdicts. Tables may be empty.
+either class has no training URL. Where one half of the ruled URLs lacks a class, its model gives each character of that class the same
+probability. Very long URLs are scored whole; of the table's other columns only those to keep are read, so clashing names do no harm. A URL whose host is empty after ``://`` is undecided like others. Repeated rows get equal verdicts. Tables may be empty.
 """
 
 from __future__ import annotations
@@ -96,6 +98,16 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     return at.groupBy("folded").agg(F.avg(F.log(p["good"]) - F.log(p["bad"])).alias("ratio"))
 
 
+def held_out(ruled: DataFrame, tasks: int) -> DataFrame:
+    """Of rows (folded, good): distinct rows (folded, ratio), each scored by models of the rows of the other half."""
+    half = F.pmod(F.xxhash64("folded"), F.lit(2))
+    parts = []
+    for k in (0, 1):
+        model = stored(train(ruled.where(half != k)), "urlhalf")
+        parts.append(score(ruled.where(half == k).select("folded").distinct().repartition(tasks), model))
+    return stored(parts[0].unionByName(parts[1]), "urlheld")
+
+
 def calibrate(scored: DataFrame) -> DataFrame:
     """One row (one, cut) of rows (good, ratio): where both classes, taken as normal, are equally many deviations away."""
     m = scored.where(F.col("good").isNotNull()).agg(
@@ -111,13 +123,14 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url: str = "url",
     rows = pages.select(*[pages[c] for c in keep], host.alias("host"), path.alias("path"), fold(F.coalesce(pages[url], F.lit(""))).alias("folded"), F.contains(F.coalesce(pages[url], F.lit("")), F.lit("://")).alias("_split"))
     rows = rows.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     judged = rows.select(*keep, "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.allow").alias("good"), "folded", "_split")
-    model = stored(train(judged.where(F.col("good").isNotNull()).select("folded", "good")), "urlmodel")
+    ruled = judged.where(F.col("good").isNotNull()).select("folded", "good")
+    model = stored(train(ruled), "urlmodel")
     different = stored(judged.select("folded").where("folded <> ''").distinct(), "urls")
     # few bytes that become many rows: spread by rows, where Spark would gather them by bytes
     tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-different.count() // URLS_A_TASK))
     scored = stored(score(different.repartition(tasks), model), "urlscores")
     all_rows = judged.join(scored, "folded", "left").withColumn("one", F.lit(1))
-    cut = calibrate(all_rows.select("good", "ratio"))
+    cut = calibrate(ruled.join(held_out(ruled, tasks), "folded"))
     verdict = F.when(F.coalesce(F.col("good"), ~F.col("_split")), "allow").when(F.col("good").isNotNull(), "block")
     verdict = verdict.when(F.col("ratio").isNull() | F.col("cut").isNull() | (F.col("ratio") >= F.col("cut")), "allow").otherwise("block")
     return all_rows.join(F.broadcast(cut), "one", "left").select(*keep, "host", "path", "rule", verdict.alias("verdict"), "ratio", "cut")

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
+import statistics
 import struct
 import zlib
 
@@ -422,6 +424,57 @@ def test_url_model_tells_classes_apart(spark):
     assert sum(got[1000 + i] == ("allow" if i % 2 else "block") for i in range(40)) >= 36
 
 
+def brute_url_model(rows):
+    """Counts of (class, context, next character) and of (class, context), of rows (folded, good)."""
+    after, seen = {}, {}
+    for folded, good in rows:
+        for i, c in enumerate(folded):
+            before = ("^^^" + folded)[: i + 3]
+            for k in range(4):
+                x = before[len(before) - k :]
+                after[good, x, c] = after.get((good, x, c), 0) + 1
+                seen[good, x] = seen.get((good, x), 0) + 1
+    return after, seen
+
+
+def brute_url_ratio(model, folded):
+    after, seen = model
+    total = 0.0
+    for i, c in enumerate(folded):
+        before, p = ("^^^" + folded)[: i + 3], {True: 1 / 40, False: 1 / 40}
+        for k in range(4):
+            x = before[len(before) - k :]
+            if (True, x) in seen or (False, x) in seen:
+                p = {g: (after.get((g, x, c), 0) + 4 * p[g]) / (seen.get((g, x), 0) + 4) for g in p}
+        total += math.log(p[True]) - math.log(p[False])
+    return total / len(folded)
+
+
+def test_url_model_against_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", F.lit("x").alias("folded"), F.lit(1).alias("ratio"))
+    long = spark.createDataFrame([(-1, "http://a.net/" + "ab/" * 20_000), (-2, "http://free.de/" + "cd-" * 20_000)], "page_id long, url string")
+    pages = pages.unionByName(long.selectExpr("*", "'x' folded", "1 ratio"))
+    rows = pages.select("page_id", "url", urlfilter.fold(F.coalesce("url", F.lit(""))).alias("f")).withColumn("half", F.pmod(F.xxhash64("f"), F.lit(2))).collect()
+    rule = {r["page_id"]: brute_rule(r["url"])[2] for r in rows}
+    ruled = [(r["f"], rule[r["page_id"]].allow, r["half"]) for r in rows if rule[r["page_id"]]]
+    halves = [brute_url_model([(f, g) for f, g, h in ruled if h != k]) for k in (0, 1)]
+    cached = {f: brute_url_ratio(halves[h], f) for f, _, h in ruled}
+    of = {g: [cached[f] for f, good, _ in ruled if good == g] for g in (True, False)}
+    mean, dev = ({g: fn(of[g]) for g in of} for fn in (statistics.fmean, statistics.pstdev))
+    cut = (mean[True] * (dev[False] + 1e-9) + mean[False] * (dev[True] + 1e-9)) / (dev[True] + dev[False] + 2e-9)
+    model = brute_url_model([(f, g) for f, g, _ in ruled])
+    got = {r["page_id"]: r for r in urlfilter.judge(pages).collect()}
+    assert len(got) == len(rows) and min(map(len, of.values())) > 5
+    for r in rows:
+        mine = got[r["page_id"]]
+        assert mine["cut"] == pytest.approx(cut, abs=1e-9)
+        if r["f"]:
+            ratio = brute_url_ratio(model, r["f"])
+            assert mine["ratio"] == pytest.approx(ratio, abs=1e-9)
+            if not rule[r["page_id"]] and abs(ratio - cut) > 1e-9:
+                assert mine["verdict"] == ("allow" if ratio >= cut else "block")
+
+
 def test_url_model_keeps_rare_contexts_of_large_tables(spark):
     few = spark.createDataFrame([("qzj.net/de", False), ("example.net/en/common", True)], "folded string, good boolean")
     many = few.unionByName(spark.range(3000).select(F.lit("example.net/en/common").alias("folded"), F.lit(True).alias("good")))
