@@ -124,5 +124,24 @@ def sentences_by_genre(sentences: DataFrame, sources: DataFrame, genre: str) ->
     return sentences.drop("genre").join(sources.where(path_match(F.col("genre_path"), genre)).select("source_id", "genre_path"), "source_id")
 
 
+def source_genres(sources: DataFrame) -> DataFrame:
+    """The genres of each source id."""
+    return sources.select("source_id", "genre_path").distinct()
+
+
+def sentences_with_genre(sentences: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every sentence with the genre of its source."""
+    return sentences.select("sentence_id", "source_id", "text").join(sources.select("source_id", "genre_path"), "source_id").select("sentence_id", "text", "genre_path")
+
+
+def source_ids_by_genre(sources: DataFrame, genre: str) -> DataFrame:
+    return sources.where(path_match(F.col("genre_path"), genre)).select("source_id")
+
+
+def source_text(sentences: DataFrame, source_ids: DataFrame) -> DataFrame:
+    """The sentences of the given sources: (source_id, sentence_id, text)."""
+    return sentences.select("source_id", "sentence_id", "text").join(source_ids.select("source_id"), "source_id", "left_semi")
+
+
 def basename_ids(sources: DataFrame) -> DataFrame:
     return sources.select("basename", "source_id")

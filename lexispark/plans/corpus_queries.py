@@ -151,7 +151,10 @@ def _found(spark, sf, q="thha[a-z]+", **k):
     return f.withColumn("match", F.col("match").cast("long"))
 
 
-@query("c01_fulltext_search", _search_sql("thha[a-z]+", "regexp_matches(genre_path || '.', '^(?:(?:en))\\.(?:[^.]+\\.)*$')", "['speech']") + "SELECT * FROM found")
+_ENGLISH_SEARCH = _search_sql("thha[a-z]+", "regexp_matches(genre_path || '.', '^(?:(?:en))\\.(?:[^.]+\\.)*$')", "['speech']") + "SELECT * FROM found"
+
+
+@query("c01_fulltext_search", _ENGLISH_SEARCH)
 def fulltext_search(spark, sf):
     return _found(spark, sf, genre="en.*", remove_tags=["speech"], literal="thha")
 
@@ -240,6 +243,27 @@ def listing_sentences_by_genre(spark, sf):
     return search.sentences_by_genre(V.sentences(spark, sf), V.sources(spark, sf), paths.widen("de")).select("sentence_id", "genre_path", "text")
 
 
+@query("c11_source_genres", "SELECT DISTINCT source_id, genre_path FROM sources")
+def listing_source_genres(spark, sf):
+    return search.source_genres(V.sources(spark, sf))
+
+
+@query("c11_sentences_with_genre", "SELECT sentence_id, text, genre_path FROM sentences JOIN sources USING (source_id)")
+def listing_sentences_with_genre(spark, sf):
+    return search.sentences_with_genre(V.sentences(spark, sf), V.sources(spark, sf))
+
+
+@query("c11_source_ids_by_genre", "SELECT source_id FROM sources WHERE starts_with(genre_path || '.', 'fr.')")
+def listing_source_ids(spark, sf):
+    return search.source_ids_by_genre(V.sources(spark, sf), paths.widen("fr"))
+
+
+@query("c11_source_text", "SELECT source_id, sentence_id, text FROM sentences WHERE source_id IN (SELECT source_id FROM sources WHERE starts_with(genre_path || '.', 'fr.'))")
+def listing_source_text(spark, sf):
+    """The texts of all sources of a genre."""
+    return search.source_text(V.sentences(spark, sf), search.source_ids_by_genre(V.sources(spark, sf), paths.widen("fr")))
+
+
 @query("c11_basename_ids", "SELECT basename, source_id FROM sources")
 def listing_basenames(spark, sf):
     return search.basename_ids(V.sources(spark, sf))

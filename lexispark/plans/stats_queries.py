@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..functions import paths, text
 from ..operators import aggregates, annotate, collocations, embed, evaluate, readability, register, sampling, search, topics
 from ..sources import readers, writers
 from . import views as V
-from .corpus_queries import _RUNS, genre_norm_table, genre_text, gram_sql, gram_table, node_text, tree_sql
+from .corpus_queries import _ENGLISH_SEARCH, _RUNS, _found, genre_norm_table, genre_text, gram_sql, gram_table, node_text, tree_sql
 from .registry import query
 
 #: Brand and type pairs, aggregated: the table that measures run on.
@@ -650,15 +651,40 @@ def saved_match_names(spark, sf):
     return V.sources(spark, sf).select("genre_path").distinct().select("genre_path", F.sha2(F.concat(F.lit("th.*#"), F.col("genre_path"), F.lit("#speech")).cast("binary"), 256).alias("name"))
 
 
-@query("a11_write_search_tables", gram_sql(1) + " SELECT type, string_1, array_to_string(genre, '.') AS genre, count FROM sg1")
-def write_search_tables(spark, sf):
-    """The table as it is read back after a write partitioned by type."""
+def _shared_folder(spark, name):
+    """A new folder that driver and executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lexispark-")
-    folder = f"{where.rstrip('/')}/tables-{abs(hash(sf)) % 10**9}-{spark.sparkContext.applicationId}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a10_save_matches", _ENGLISH_SEARCH)
+def save_matches(spark, sf):
+    """A search as it is read back after it was saved."""
+    found = _found(spark, sf, genre="en.*", remove_tags=["speech"], literal="thha")
+    return spark.read.parquet(writers.save_matches(found, _shared_folder(spark, "matches"), "thha[a-z]+", "en.*", ["speech"]))
+
+
+@query("a12_append_batch", "SELECT source_id, basename, sentence_id, text FROM sentences JOIN sources USING (source_id)")
+def append_batch(spark, sf):
+    """The corpus as it is read back after two batches, of which the first came twice."""
+    folder = _shared_folder(spark, "appended")
+    own = V.sources(spark, sf).select("source_id", "basename", "permission")
+    children = V.sentences(spark, sf).select("source_id", "sentence_id", "text").join(own, "source_id").drop("source_id")
+    for permission in (True, False, True):
+        some = F.col("permission") == permission
+        writers.append_batch(own.where(some).drop("permission"), children.where(some).drop("permission"), folder, int(permission))
+    sources = spark.read.parquet(f"{folder}/sources")
+    return spark.read.parquet(f"{folder}/sentences").join(sources, ["source_id", "batch"]).select("source_id", "basename", "sentence_id", "text")
+
+
+@query("a11_write_search_tables", gram_sql(1) + " SELECT type, string_1, array_to_string(genre, '.') AS genre, count FROM sg1")
+def write_search_tables(spark, sf):
+    """The table as it is read back after a write partitioned by type."""
+    folder = _shared_folder(spark, "tables")
     writers.write_search_tables({"search_gram_1": gram_table(spark, sf, 1)}, folder, {"search_gram_1": "type"})
     return genre_text(spark.read.parquet(f"{folder}/search_gram_1")).select("type", "string_1", "genre", "count")
 

@@ -60,11 +60,12 @@ def write_search_tables(tables: Mapping[str, DataFrame], folder: str, partition_
         (writer.partitionBy(partition_by[name]) if name in partition_by else writer).parquet(f"{folder}/{name}")
 
 
-def append_batch(sources: DataFrame, children: DataFrame, folder: str) -> None:
-    """Appends documents: sources first, then their sentences keyed by basename. A child of an unknown basename is an error and nothing is written."""
+def append_batch(sources: DataFrame, children: DataFrame, folder: str, batch: str | int) -> None:
+    """Appends documents and their sentences keyed by basename, in folders of this batch: a retry replaces its own files alone. Sources are
+    written last, so what `sources` lists is whole. A child of an unknown basename is an error and nothing is written."""
     known = sources.select("basename", "source_id")
     unknown = children.join(known, "basename", "left_anti").select("basename").limit(5).collect()
     if unknown:
         raise ValueError("no source for " + ", ".join(r["basename"] for r in unknown))
-    sources.write.mode("append").parquet(f"{folder}/sources")
-    children.join(known, "basename").drop("basename").write.mode("append").parquet(f"{folder}/sentences")
+    children.join(known, "basename").drop("basename").write.mode("overwrite").parquet(f"{folder}/sentences/batch={batch}")
+    sources.write.mode("overwrite").parquet(f"{folder}/sources/batch={batch}")
