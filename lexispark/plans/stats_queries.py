@@ -251,18 +251,37 @@ def score_tokens(spark, sf):
     return out.select("sentence_id", "position", "orth_base", F.round("good", 4).alias("good"), F.round("bad", 4).alias("bad"), "verdict")
 
 
-@query("h06_score_texts")
+_PLACED = r""", spans AS (SELECT sentence_id, position, sum(length(m)) OVER (PARTITION BY sentence_id ORDER BY position) AS se, length(regexp_replace(m, '^\s+', '')) AS own FROM (
+  SELECT sentence_id, unnest(ms) AS m, CAST(generate_subscripts(ms, 1) - 1 AS INTEGER) AS position FROM (SELECT sentence_id, regexp_extract_all(text, '\s*(?:\p{L}+|[0-9]+|[^\p{L}0-9\s])') AS ms FROM sentences))),
+offs AS (SELECT sentence_id, sum(length(text) + step) OVER (PARTITION BY source_id ORDER BY sentence_order_id) - length(text) AS off FROM (
+  SELECT *, coalesce((paragraph_order_id <> lag(paragraph_order_id) OVER (PARTITION BY source_id ORDER BY sentence_order_id))::INT, 0) AS step FROM sentences)),
+placed AS (SELECT t.*, off + se - own AS b, off + se AS e2 FROM toks1 t JOIN spans USING (sentence_id, position) JOIN offs USING (sentence_id)),
+heads AS (SELECT source_id, genre[1] AS g, string_agg(orth_base, '' ORDER BY position) FILTER (pos_1 IN ('noun', 'verb', 'adjective')) AS string_1, max(orth_base) FILTER (pos_1 = 'particle') AS string_2,
+  min(b) FILTER (pos_1 IN ('noun', 'verb', 'adjective')) AS b, max(e2) FILTER (pos_1 = 'particle') AS e2 FROM placed GROUP BY source_id, sentence_id, chunk_id, genre HAVING string_1 IS NOT NULL AND string_2 IS NOT NULL),
+pitems AS (SELECT string_1, string_2, g, count(*) AS c FROM heads GROUP BY ALL),
+prates AS (SELECT string_1, string_2, g, 1e6 * coalesce(c, 0) / t AS freq FROM (SELECT DISTINCT string_1, string_2 FROM pitems) CROSS JOIN tot LEFT JOIN pitems USING (string_1, string_2, g)),
+pfar AS (SELECT *, avg(freq) OVER (PARTITION BY string_1, string_2) AS mean, freq - avg(freq) OVER (PARTITION BY string_1, string_2) AS d FROM prates),
+preg AS (SELECT string_1, string_2, avg(d) FILTER (g = 'en' AND d * d / mean > 19.675) AS good0, avg(d) FILTER (g IN ('de', 'fr') AND d * d / mean > 19.675) AS bad0 FROM pfar GROUP BY ALL)
+"""
+
+
+@query("h06_score_texts", _RATES + _PLACED + """ SELECT source_id AS text_id, CAST(b AS INTEGER) AS "begin", CAST(e2 AS INTEGER) AS "end", 'token' AS kind, orth_base AS item, round(good, 4) AS good, round(bad, 4) AS bad, verdict
+ FROM placed JOIN reg USING (orth_base, pos_1) WHERE pos_1 <> 'symbol' UNION ALL SELECT source_id, CAST(b AS INTEGER), CAST(e2 AS INTEGER), 'collocation', string_1 || '-' || string_2, round(coalesce(good0, 0), 4), round(coalesce(bad0, 0), 4),
+ CASE WHEN good0 >= 0 AND bad0 < 0 THEN true WHEN good0 <= 0 AND bad0 > 0 THEN false END FROM heads JOIN preg USING (string_1, string_2)""")
 def score_texts(spark, sf):
+    """Places are characters of the text that the sentences make, with a line end between paragraphs."""
     s = V.sentences(spark, sf).withColumnRenamed("source_id", "text_id")
     at = s.select("sentence_id", "text_id", "sentence_order_id")
-    c = V.chunks(spark, sf)
-    heads = c.where("head_string is not null and tail_string is not null").join(at, "sentence_id")
-    g = heads.select("text_id", "sentence_order_id", F.col("head_begin").alias("begin"), F.col("tail_end").alias("end"), F.col("head_string").alias("string_1"), F.col("tail_string").alias("string_2"))
-    t = V.tokens(spark, sf).join(at, "sentence_id").withColumns({"begin": F.col("position"), "end": F.col("position") + 1})
-    groups = c.where("head_string is not null and tail_string is not null").groupBy(F.col("head_string").alias("string_1"), F.col("tail_string").alias("string_2"), F.get("genre", F.lit(0)).alias("group")).agg(F.count("*").alias("count"))
+    t = chunk_tokens(spark, sf).join(V.token_spans(spark, sf), ["sentence_id", "position"])
+    content, particle = F.col("pos_1").isin(*V.CONTENT), F.col("pos_1").isin(*V.FUNCTIONAL)
+    head = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(content, F.struct("position", "orth_base")))), lambda x: x["orth_base"]), "")
+    c = t.groupBy("sentence_id", "chunk_id", F.get("genre", F.lit(0)).alias("group")).agg(
+        head.alias("string_1"), F.max(F.when(particle, F.col("orth_base"))).alias("string_2"), F.min(F.when(content, F.col("begin"))).alias("begin"), F.max(F.when(particle, F.col("end"))).alias("end")
+    ).where("begin is not null and string_2 is not null")
     _, tokens = _counts(spark, sf, "orth_base")
-    grams = register.register_score(groups, tokens, GOOD, BAD, "string_1", "string_2")
-    return register.score_texts(s, t, g, _register(spark, sf), grams)
+    scores = register.register_score(c.groupBy("string_1", "string_2", "group").agg(F.count("*").alias("count")), tokens, GOOD, BAD, "string_1", "string_2")
+    out = register.score_texts(s, t.join(at, "sentence_id"), c.join(at, "sentence_id").drop("group"), _register(spark, sf), scores)
+    return out.withColumns({n: F.round(n, 4) for n in ("good", "bad")})
 
 
 @query("h07_register_group_means", """, r AS (SELECT lemma, round(1e6 * count(*) FILTER (genre[1] = 'en') / (SELECT count(*) FROM tokens WHERE genre[1] = 'en'), 6) AS en, round(1e6 * count(*) FILTER (genre[1] = 'de') / (SELECT count(*) FROM tokens WHERE genre[1] = 'de'), 6) AS de,

@@ -67,6 +67,14 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sentence_id, position, begin, end): where each token stands in its sentence, in characters."""
+    spaced = F.posexplode(F.regexp_extract_all("text", F.lit(rf"\s*(?:{TOKEN})"), F.lit(0))).alias("position", "m")
+    t = sentences(spark, sf_dir).select("sentence_id", spaced)
+    end = F.sum(F.length("m")).over(Window.partitionBy("sentence_id").orderBy("position")).cast("int")
+    return t.select("sentence_id", "position", (end - F.length(F.regexp_replace("m", r"^\s+", ""))).alias("begin"), end.alias("end"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps and islands inside a sentence: a chunk ends at a particle or symbol."""
     t = tokens(spark, sf_dir)

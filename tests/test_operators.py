@@ -222,3 +222,22 @@ def test_path_and_type_queries_read_whole_texts(spark, sf):
     got = q["b05_sanitize_line_path"](spark, sf)
     assert got.where(F.exists(F.split("path", r"\."), lambda x: F.octet_length(x) >= 256)).count() == 0 < got.where(F.length("path") > 256).count()
     assert q["k03_infer_whole_corpus_type"](spark, sf).exceptAll(q["k03_infer_corpus_type"](spark, sf)).count() > 0
+
+
+def test_scored_items_stand_at_their_places(spark, sf):
+    from lexispark.catalog import queries
+    from lexispark.plans import views
+
+    texts = {}
+    for r in views.sentences(spark, sf).orderBy("sentence_id").collect():
+        paragraph, text = texts.get(r["source_id"], (r["paragraph_order_id"], ""))
+        texts[r["source_id"]] = r["paragraph_order_id"], text + "\n" * (r["paragraph_order_id"] != paragraph) + r["text"]
+    rows = queries()["h06_score_texts"](spark, sf).collect()
+    assert {r["kind"] for r in rows} == {"token", "collocation"}
+    for r in rows:
+        found = texts[r["text_id"]][1][r["begin"] : r["end"]].lower()
+        if r["kind"] == "token":
+            assert found == r["item"]
+        else:
+            head, tail = r["item"].rsplit("-", 1)
+            assert found.endswith(tail) and "".join(found.removesuffix(tail).split()) == head
