@@ -232,7 +232,16 @@ def unseen_score(spark, sf):
     return out.select("string_1", "string_2", *[F.round(c, 6).alias(c) for c in ("mi", "t", "llr")])
 
 
-@query("h04_score_collocations")
+@query("h04_score_collocations", _UNSEEN + gram_sql(2) + """, it AS (SELECT DISTINCT parts[2].string AS string_1, parts[1].string AS string_2 FROM grams WHERE n = 2 AND type = 'noun_particle'),
+ seen AS (SELECT string_1, string_2, CAST(sum(count) AS BIGINT) AS count, sum(f_ix) AS ix, sum(f_xi) AS xi FROM sg2 WHERE type = 'particle_noun' GROUP BY ALL),
+ v AS (SELECT it.string_1, it.string_2, coalesce(count, 0) AS count, CAST(coalesce(count, 1) AS DOUBLE) AS f_ii, CAST(coalesce(ix, nullif(a.c, 0), 1) AS DOUBLE) AS f_ix, CAST(coalesce(xi, nullif(b.c, 0), 1) AS DOUBLE) AS f_xi, f_xx
+  FROM it LEFT JOIN seen USING (string_1, string_2) LEFT JOIN ones a ON a.string_1 = it.string_1 AND a.type = 'particle' LEFT JOIN ones b ON b.string_1 = it.string_2 AND b.type = 'noun', total),
+ tot AS (SELECT genre[1] AS g, count(*) AS t FROM tokens GROUP BY 1), items AS (SELECT string_1, string_2, genre[1] AS g, sum(count) AS c FROM sg2 WHERE type = 'particle_noun' GROUP BY ALL),
+ rates AS (SELECT string_1, string_2, g, 1e6 * coalesce(c, 0) / t AS freq FROM seen CROSS JOIN tot LEFT JOIN items USING (string_1, string_2, g)),
+ far AS (SELECT *, avg(freq) OVER (PARTITION BY string_1, string_2) AS mean, freq - avg(freq) OVER (PARTITION BY string_1, string_2) AS d FROM rates),
+ reg AS (SELECT string_1, string_2, avg(d) FILTER (g = 'en' AND d * d / mean > 19.675) AS good0, avg(d) FILTER (g IN ('de', 'fr') AND d * d / mean > 19.675) AS bad0, any_value(mean) AS mean, true AS scored FROM far GROUP BY ALL)
+ SELECT string_1, string_2, count, round(""" + _MI + ", 6) AS mi, round(abs((f_ii - f_ix * f_xi / f_xx) / sqrt(f_ii)), 6) AS t, round(" + _LLR + """, 6) AS llr, CASE WHEN scored THEN round(coalesce(good0, 0), 4) END AS good,
+  CASE WHEN scored THEN round(coalesce(bad0, 0), 4) END AS bad, round(mean, 4) AS mean, CASE WHEN good0 >= 0 AND bad0 < 0 THEN true WHEN good0 <= 0 AND bad0 > 0 THEN false END AS verdict FROM v LEFT JOIN reg USING (string_1, string_2)""")
 def score_collocations(spark, sf):
     t = gram_table(spark, sf, 2).withColumn("string_3", F.lit(""))
     totals = t.agg(F.sum("count").alias("f_xx")).select(F.lit(2).alias("n"), "f_xx")
@@ -242,7 +251,8 @@ def score_collocations(spark, sf):
     _, tokens = _counts(spark, sf, "orth_base")
     scored = register.register_score(groups, tokens, GOOD, BAD, *keys)
     items = _pairs_of_nouns(spark, sf).withColumn("string_3", F.lit(""))
-    return register.score_collocations(items, seen, scored, gram_table(spark, sf, 1), totals)
+    out = register.score_collocations(items, seen, scored, gram_table(spark, sf, 1), totals)
+    return out.select("string_1", "string_2", "count", *[F.round(c, 6).alias(c) for c in ("mi", "t", "llr")], *[F.round(c, 4).alias(c) for c in ("good", "bad", "mean")], "verdict")
 
 
 @query("h05_score_tokens", _RATES + " SELECT sentence_id, position, orth_base, round(good, 4) AS good, round(bad, 4) AS bad, verdict FROM tokens JOIN reg USING (orth_base, pos_1) WHERE pos_1 <> 'symbol'")
