@@ -107,7 +107,7 @@ def document_tokens(tokens: DataFrame, feature: str = "orth", pos: Sequence[str]
 
 
 def simple_context_search(sentences: DataFrame, sources: DataFrame, query: str) -> DataFrame:
-    """Matching sentences with their source, in order."""
+    """Matching sentences with their source; `paginate` puts them in order."""
     hit = sentences.where(F.col("text").rlike(query)).select("sentence_id", "source_id", "text")
     return hit.join(sources.select("source_id", "title", "author", "year", "genre_path"), "source_id")
 
