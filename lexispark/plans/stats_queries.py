@@ -240,8 +240,8 @@ def unseen_score(spark, sf):
  rates AS (SELECT string_1, string_2, g, 1e6 * coalesce(c, 0) / t AS freq FROM seen CROSS JOIN tot LEFT JOIN items USING (string_1, string_2, g)),
  far AS (SELECT *, avg(freq) OVER (PARTITION BY string_1, string_2) AS mean, freq - avg(freq) OVER (PARTITION BY string_1, string_2) AS d FROM rates),
  reg AS (SELECT string_1, string_2, avg(d) FILTER (g = 'en' AND d * d / mean > 19.675) AS good0, avg(d) FILTER (g IN ('de', 'fr') AND d * d / mean > 19.675) AS bad0, any_value(mean) AS mean, true AS scored FROM far GROUP BY ALL)
- SELECT string_1, string_2, count, round(""" + _MI + ", 6) AS mi, round(abs((f_ii - f_ix * f_xi / f_xx) / sqrt(f_ii)), 6) AS t, round(" + _LLR + """, 6) AS llr, CASE WHEN scored THEN round(coalesce(good0, 0), 4) END AS good,
-  CASE WHEN scored THEN round(coalesce(bad0, 0), 4) END AS bad, round(mean, 4) AS mean, CASE WHEN good0 >= 0 AND bad0 < 0 THEN true WHEN good0 <= 0 AND bad0 > 0 THEN false END AS verdict FROM v LEFT JOIN reg USING (string_1, string_2)""")
+ SELECT string_1, string_2, count, round(""" + _MI + ", 6) AS mi, round(abs((f_ii - f_ix * f_xi / f_xx) / sqrt(f_ii)), 6) AS t, round(" + _LLR + """, 6) AS llr, CASE WHEN scored THEN round(round(coalesce(good0, 0), 6), 4) END AS good,
+  CASE WHEN scored THEN round(round(coalesce(bad0, 0), 6), 4) END AS bad, round(round(mean, 6), 4) AS mean, CASE WHEN good0 >= 0 AND bad0 < 0 THEN true WHEN good0 <= 0 AND bad0 > 0 THEN false END AS verdict FROM v LEFT JOIN reg USING (string_1, string_2)""")
 def score_collocations(spark, sf):
     t = gram_table(spark, sf, 2).withColumn("string_3", F.lit(""))
     totals = t.agg(F.sum("count").alias("f_xx")).select(F.lit(2).alias("n"), "f_xx")
@@ -275,8 +275,8 @@ preg AS (SELECT string_1, string_2, avg(d) FILTER (g = 'en' AND d * d / mean > 1
 """
 
 
-@query("h06_score_texts", _RATES + _PLACED + """ SELECT source_id AS text_id, CAST(b AS INTEGER) AS "begin", CAST(e2 AS INTEGER) AS "end", 'token' AS kind, orth_base AS item, round(good, 4) AS good, round(bad, 4) AS bad, verdict
- FROM placed JOIN reg USING (orth_base, pos_1) WHERE pos_1 <> 'symbol' UNION ALL SELECT source_id, CAST(b AS INTEGER), CAST(e2 AS INTEGER), 'collocation', string_1 || '-' || string_2, round(coalesce(good0, 0), 4), round(coalesce(bad0, 0), 4),
+@query("h06_score_texts", _RATES + _PLACED + """ SELECT source_id AS text_id, CAST(b AS INTEGER) AS "begin", CAST(e2 AS INTEGER) AS "end", 'token' AS kind, orth_base AS item, good, bad, verdict
+ FROM placed JOIN reg USING (orth_base, pos_1) WHERE pos_1 <> 'symbol' UNION ALL SELECT source_id, CAST(b AS INTEGER), CAST(e2 AS INTEGER), 'collocation', string_1 || '-' || string_2, round(coalesce(good0, 0), 6), round(coalesce(bad0, 0), 6),
  CASE WHEN good0 >= 0 AND bad0 < 0 THEN true WHEN good0 <= 0 AND bad0 > 0 THEN false END FROM heads JOIN preg USING (string_1, string_2)""")
 def score_texts(spark, sf):
     """Places are characters of the text that the sentences make, with a line end between paragraphs."""
@@ -290,8 +290,7 @@ def score_texts(spark, sf):
     ).where("begin is not null and string_2 is not null")
     _, tokens = _counts(spark, sf, "orth_base")
     scores = register.register_score(c.groupBy("string_1", "string_2", "group").agg(F.count("*").alias("count")), tokens, GOOD, BAD, "string_1", "string_2")
-    out = register.score_texts(s, t.join(at, "sentence_id"), c.join(at, "sentence_id").drop("group"), _register(spark, sf), scores)
-    return out.withColumns({n: F.round(n, 4) for n in ("good", "bad")})
+    return register.score_texts(s, t.join(at, "sentence_id"), c.join(at, "sentence_id").drop("group"), _register(spark, sf), scores)
 
 
 @query("h07_register_group_means", """, r AS (SELECT lemma, round(1e6 * count(*) FILTER (genre[1] = 'en') / (SELECT count(*) FROM tokens WHERE genre[1] = 'en'), 6) AS en, round(1e6 * count(*) FILTER (genre[1] = 'de') / (SELECT count(*) FROM tokens WHERE genre[1] = 'de'), 6) AS de,
