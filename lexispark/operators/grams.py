@@ -2,47 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
+
 #: Chunks on a path, the first included, are one more than the links followed.
 MAX_LINKS = 4
 
 
-def _parts(c: Column) -> Column:
+def _parts(c: Column, span: tuple[str, str] = ("begin", "end")) -> Column:
     def part(side: str) -> Column:
-        return F.struct(c[f"{side}_string"].alias("string"), c[f"{side}_pos"].alias("pos"), c[f"{side}_begin"].alias("begin"), c[f"{side}_end"].alias("end"))
+        return F.struct(c[f"{side}_string"].alias("string"), c[f"{side}_pos"].alias("pos"), c[f"{side}_{span[0]}"].alias("begin"), c[f"{side}_{span[1]}"].alias("end"))
 
     whole = lambda p: p["string"].isNotNull() & p["pos"].isNotNull() & p["begin"].isNotNull() & p["end"].isNotNull()
     return F.filter(F.array(part("head"), part("tail")), whole)
 
 
-def _paths(chunks: DataFrame, max_links: int) -> DataFrame:
-    """(sentence_id, source_id, genre, paths): a row for each sentence with the (chunk_id, path) of its chunks."""
-    cols = [c for c in chunks.columns if c not in ("sentence_id", "source_id", "genre")]
-    rows = chunks.groupBy("sentence_id", "source_id", "genre").agg(F.sort_array(F.collect_list(F.struct("chunk_id", *[c for c in cols if c != "chunk_id"]))).alias("cs"))
+def _gathered(chunks: DataFrame) -> DataFrame:
+    """A row for each sentence with its chunks as the array `cs`; rows that are so already stay."""
+    if "cs" in chunks.columns:
+        return chunks
+    cols = [c for c in chunks.columns if c not in ("sentence_id", "source_id", "genre", "chunk_id")]
+    return chunks.groupBy("sentence_id", "source_id", "genre").agg(F.sort_array(F.collect_list(F.struct("chunk_id", *cols))).alias("cs"))
+
 
-    def path(c: Column) -> Column:
+def follow_links(chunks: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
+    """(sentence_id, source_id, genre, chunk_id, path): from each chunk the chunks it leads to, itself first. chunks: a row for each, which are gathered
+    once by sentence, or for each sentence an array `cs` of them in order, which needs no shuffle. Links are followed inside the row."""
+
+    def path(own: Column, c: Column) -> Column:
         steps = [c]
         for _ in range(max_links):
             at = steps[-1]["link"]
-            steps.append(F.when(at >= 0, F.get("cs", at)))
+            steps.append(F.when(at >= 0, F.get(own, at)))
         return F.filter(F.array(*steps), lambda x: x.isNotNull())
 
     # paths are made inside the row, so that only they are exploded, not the sentence beside each of them
-    return rows.select("sentence_id", "source_id", "genre", F.transform("cs", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), path(c).alias("path"))).alias("paths"))
+    paths = bound(F.col("cs"), lambda cs: F.transform(cs, lambda c: F.struct(c["chunk_id"].alias("chunk_id"), path(cs, c).alias("path"))))
+    return _gathered(chunks).select("sentence_id", "source_id", "genre", F.explode(paths).alias("p")).select("sentence_id", "source_id", "genre", "p.chunk_id", "p.path")
 
 
-def follow_links(chunks: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
-    """(sentence_id, source_id, genre, chunk_id, path): from each chunk the chunks it leads to, itself first. The chunks of a sentence are gathered
-    once and links are followed inside the row, so there is one shuffle whatever the length of paths."""
-    return _paths(chunks, max_links).select("sentence_id", "source_id", "genre", F.explode("paths").alias("p")).select("sentence_id", "source_id", "genre", "p.chunk_id", "p.path")
+def part_paths(chunks: DataFrame, max_n: int = 4, max_links: int = MAX_LINKS, min_n: int = 1, span: tuple[str, str] = ("begin", "end")) -> DataFrame:
+    """(sentence_id, source_id, genre, chunk_id, all): the first ``max_n`` parts along the path of each chunk that has ``min_n``. ``span`` names the columns of their places.
+    Parts are made once a chunk, and paths of them inside the row, so only they are exploded."""
+    rows = _gathered(chunks)
+
+    def path(own: Column, c: Column) -> Column:
+        steps = [c]
+        for _ in range(max_links):
+            at = steps[-1]["link"]
+            steps.append(F.when(at >= 0, F.get(own, at)))
+        return F.slice(F.flatten(F.transform(F.array(*steps), lambda x: F.coalesce(x["parts"], F.array_except(c["parts"], c["parts"])))), 1, max_n)
+
+    own = F.transform("cs", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["link"].alias("link"), _parts(c, span).alias("parts")))
+    paths = bound(own, lambda p: F.filter(F.transform(p, lambda c: F.struct(c["chunk_id"].alias("chunk_id"), path(p, c).alias("all"))), lambda x: F.size(x["all"]) >= min_n))
+    return rows.select("sentence_id", "source_id", "genre", F.explode(paths).alias("p")).select("sentence_id", "source_id", "genre", "p.chunk_id", "p.all")
 
 
-def extract_collocations(chunks: DataFrame, max_n: int = 4, max_links: int = MAX_LINKS, min_n: int = 1) -> DataFrame:
+def extract_collocations(chunks: DataFrame, max_n: int = 4, max_links: int = MAX_LINKS, min_n: int = 1, span: tuple[str, str] = ("begin", "end")) -> DataFrame:
     """(sentence_id, source_id, genre, chunk_id, n, parts, type): every prefix of ``min_n`` to ``max_n`` parts along each path."""
-    p = follow_links(chunks, max_links)
-    p = p.select("sentence_id", "source_id", "genre", "chunk_id", F.slice(F.flatten(F.transform("path", _parts)), 1, max_n).alias("all")).where(F.size("all") >= min_n)
+    p = part_paths(chunks, max_n, max_links, min_n, span)
     g = p.withColumn("n", F.lit(min_n) if min_n == max_n else F.explode(F.sequence(F.lit(min_n), F.size("all"))))
     parts = F.slice("all", F.lit(1), F.col("n"))
     return g.select("sentence_id", "source_id", "genre", "chunk_id", "n", parts.alias("parts"), F.array_join(F.transform(parts, lambda x: x["pos"]), "_").alias("type"))
@@ -50,9 +70,9 @@ def extract_collocations(chunks: DataFrame, max_n: int = 4, max_links: int = MAX
 
 def extract_unigrams(chunks: DataFrame) -> DataFrame:
     """(sentence_id, position, string, pos): heads and tails of chunks in order, numbered from 1."""
-    u = chunks.select("sentence_id", "source_id", "genre", "chunk_id", F.posexplode(_parts(F.struct(*[F.col(c) for c in chunks.columns]))).alias("k", "p"))
-    order = Window.partitionBy("sentence_id").orderBy("chunk_id", "k")
-    return u.select("sentence_id", "source_id", "genre", F.row_number().over(order).alias("position"), F.col("p.string").alias("string"), F.col("p.pos").alias("pos"))
+    flat = F.flatten(F.transform("cs", lambda c: _parts(c)))
+    u = _gathered(chunks).select("sentence_id", "source_id", "genre", F.posexplode(flat).alias("k", "p"))
+    return u.select("sentence_id", "source_id", "genre", (F.col("k") + 1).alias("position"), F.col("p.string").alias("string"), F.col("p.pos").alias("pos"))
 
 
 def gram_view(grams: DataFrame, n: int) -> DataFrame:

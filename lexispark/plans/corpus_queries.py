@@ -209,7 +209,7 @@ def _sampled(df, **k):
 
 @query("c08_sample_sentences", _SAMPLE.replace("{hit}", "SELECT DISTINCT sentence_id, source_id, genre FROM grams WHERE n = 2 AND type = 'noun_particle' AND parts[2].string = 'the'").replace("{sort}", ""))
 def sample_sentences(spark, sf):
-    g = grams.extract_collocations(V.chunks(spark, sf), 2, min_n=2)
+    g = grams.extract_collocations(V.chunk_rows(spark, sf), 2, min_n=2)
     return _sampled(search.gram_hits(g, "noun_particle", {2: "the"}))
 
 
@@ -308,13 +308,14 @@ def token_listing(spark, sf):
     return search.token_listing(aggregates.search_tokens(V.tokens(spark, sf)), {"lemma": "the", "pos_1": "particle"}, ["lemma", "orth_base"])
 
 
-@query("d01_follow_links", """
-SELECT a.sentence_id, a.chunk_id, CAST(1 + (b.chunk_id IS NOT NULL)::INT + (c.chunk_id IS NOT NULL)::INT + (d.chunk_id IS NOT NULL)::INT + (e.chunk_id IS NOT NULL)::INT AS BIGINT) AS steps,
-  coalesce(e.chunk_id, d.chunk_id, c.chunk_id, b.chunk_id, a.chunk_id) AS last
-FROM chunks a LEFT JOIN chunks b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link LEFT JOIN chunks c ON c.sentence_id = a.sentence_id AND c.chunk_id = b.link
-  LEFT JOIN chunks d ON d.sentence_id = a.sentence_id AND d.chunk_id = c.link LEFT JOIN chunks e ON e.sentence_id = a.sentence_id AND e.chunk_id = d.link""")
+@query("d01_follow_links", """, at1 AS MATERIALIZED (SELECT sentence_id, chunk_id, 1 AS steps, chunk_id AS last, link FROM chunks),
+at2 AS MATERIALIZED (SELECT a.sentence_id, a.chunk_id, steps + (b.chunk_id IS NOT NULL)::INT AS steps, coalesce(b.chunk_id, last) AS last, b.link FROM at1 a LEFT JOIN chunks b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link),
+at3 AS MATERIALIZED (SELECT a.sentence_id, a.chunk_id, steps + (b.chunk_id IS NOT NULL)::INT AS steps, coalesce(b.chunk_id, last) AS last, b.link FROM at2 a LEFT JOIN chunks b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link),
+at4 AS MATERIALIZED (SELECT a.sentence_id, a.chunk_id, steps + (b.chunk_id IS NOT NULL)::INT AS steps, coalesce(b.chunk_id, last) AS last, b.link FROM at3 a LEFT JOIN chunks b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link),
+at5 AS MATERIALIZED (SELECT a.sentence_id, a.chunk_id, steps + (b.chunk_id IS NOT NULL)::INT AS steps, coalesce(b.chunk_id, last) AS last, b.link FROM at4 a LEFT JOIN chunks b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link)
+SELECT sentence_id, chunk_id, CAST(steps AS BIGINT) AS steps, last FROM at5""")
 def follow_links(spark, sf):
-    p = grams.follow_links(V.chunks(spark, sf))
+    p = grams.follow_links(V.chunk_rows(spark, sf))
     return p.select("sentence_id", "chunk_id", F.size("path").cast("long").alias("steps"), F.element_at("path", -1)["chunk_id"].alias("last"))
 
 
@@ -323,7 +324,7 @@ _SHOWN_GRAMS = "SELECT sentence_id, chunk_id, n, type, array_to_string(list_tran
 
 @query("d02_extract_collocations", _SHOWN_GRAMS)
 def extract_collocations(spark, sf):
-    return _shown_grams(grams.extract_collocations(V.chunks(spark, sf)))
+    return _shown_grams(grams.extract_collocations(V.chunk_rows(spark, sf)))
 
 
 def _shown_grams(g):
@@ -337,24 +338,24 @@ _UNI = """, uni AS (SELECT sentence_id, source_id, genre, row_number() OVER (PAR
 
 @query("d03_extract_unigrams", _UNI + " SELECT sentence_id, position, string, pos FROM uni")
 def extract_unigrams(spark, sf):
-    return grams.extract_unigrams(V.chunks(spark, sf)).select("sentence_id", F.col("position").cast("long").alias("position"), "string", "pos")
+    return grams.extract_unigrams(V.chunk_rows(spark, sf)).select("sentence_id", F.col("position").cast("long").alias("position"), "string", "pos")
 
 
 @query("d04_gram_view_2", "SELECT sentence_id, parts[1].string AS string_1, parts[1].pos AS pos_1, parts[1].begin AS begin_1, parts[1].\"end\" AS end_1, parts[2].string AS string_2, parts[2].pos AS pos_2, parts[2].begin AS begin_2, parts[2].\"end\" AS end_2 FROM grams WHERE n = 2")
 def gram_view_2(spark, sf):
-    return grams.gram_view(grams.extract_collocations(V.chunks(spark, sf), 2, min_n=2), 2).drop("source_id", "genre")
+    return grams.gram_view(grams.extract_collocations(V.chunk_rows(spark, sf), 2, min_n=2), 2).drop("source_id", "genre")
 
 
 @query("d05_complete_trigrams", "SELECT sentence_id, parts[1].string AS string_1, parts[2].string AS string_2, parts[3].string AS string_3 FROM grams WHERE n = 3 UNION SELECT sentence_id, parts[1].string, parts[2].string, parts[3].string FROM grams WHERE n = 4")
 def complete_trigrams(spark, sf):
-    g = grams.extract_collocations(V.chunks(spark, sf))
+    g = grams.extract_collocations(V.chunk_rows(spark, sf))
     wide = lambda n: grams.gram_view(g, n).select("sentence_id", "string_1", "string_2", "string_3")
     return grams.complete_trigrams(wide(3), wide(4))
 
 
 @query("d06_sort_cluster_grams", _SHOWN_GRAMS)
 def sort_cluster_grams(spark, sf):
-    return _shown_grams(grams.sort_cluster(grams.extract_collocations(V.chunks(spark, sf)), 8))
+    return _shown_grams(grams.sort_cluster(grams.extract_collocations(V.chunk_rows(spark, sf)), 8))
 
 
 @query("d07_token_table", "SELECT sentence_id, position, orth, lemma FROM tokens")
@@ -386,7 +387,7 @@ _GN = f", gn AS (SELECT type, genre, {_COUNTED} FROM grams GROUP BY ALL)"
 
 
 def gram_norm_table(spark, sf):
-    return aggregates.gram_norm(grams.extract_collocations(V.chunks(spark, sf)))
+    return aggregates.gram_norm(grams.extract_collocations(V.chunk_rows(spark, sf)))
 
 
 @query("e02_gram_norm", _GN + f" SELECT * REPLACE ({_G.removesuffix(' AS genre')} AS genre) FROM gn")
@@ -400,7 +401,7 @@ def search_tokens(spark, sf):
 
 
 def gram_table(spark, sf, n, right_part=None):
-    g = grams.gram_view(grams.extract_collocations(V.chunks(spark, sf), n, min_n=n), n)
+    g = grams.gram_view(grams.extract_collocations(V.chunk_rows(spark, sf), n, min_n=n), n)
     t = F.concat_ws("_", *[F.col(f"pos_{i + 1}") for i in range(n)])
     return aggregates.search_gram(g.withColumn("type", t), n, right_part)
 
@@ -418,19 +419,19 @@ for _n in (1, 2, 3, 4):
 
 @query("e05_marginal_f_ix", "SELECT type, parts[1].string AS string_1, array_to_string(genre, '.') AS genre, count(*) AS f_ix FROM grams WHERE n = 2 GROUP BY ALL")
 def marginal_f_ix(spark, sf):
-    g = grams.extract_collocations(V.chunks(spark, sf), 2, min_n=2).withColumn("string_1", F.get("parts", F.lit(0))["string"])
+    g = grams.extract_collocations(V.chunk_rows(spark, sf), 2, min_n=2).withColumn("string_1", F.get("parts", F.lit(0))["string"])
     return genre_text(aggregates.marginal(g, "string_1", "f_ix"))
 
 
 @query("e06_marginal_f_xi", "SELECT type, parts[3].string AS string_3, array_to_string(genre, '.') AS genre, count(*) AS f_xi FROM grams WHERE n = 4 GROUP BY ALL")
 def marginal_f_xi(spark, sf):
-    g = grams.extract_collocations(V.chunks(spark, sf), 4, min_n=4).withColumn("string_3", F.get("parts", F.lit(2))["string"])
+    g = grams.extract_collocations(V.chunk_rows(spark, sf), 4, min_n=4).withColumn("string_3", F.get("parts", F.lit(2))["string"])
     return genre_text(aggregates.marginal(g, "string_3", "f_xi"))
 
 
 @query("e08_pos_summary", _UNI + f" SELECT pos, {_G}, count(*) AS count FROM uni GROUP BY ALL")
 def pos_summary(spark, sf):
-    return genre_text(aggregates.pos_summary(grams.extract_unigrams(V.chunks(spark, sf))))
+    return genre_text(aggregates.pos_summary(grams.extract_unigrams(V.chunk_rows(spark, sf))))
 
 
 def tree_sql(table: str, values: str, by: str = "") -> str:
@@ -469,7 +470,7 @@ def gram_totals(spark, sf):
 
 @query("e12_gram_types", "SELECT DISTINCT type FROM grams")
 def gram_types(spark, sf):
-    return grams.extract_collocations(V.chunks(spark, sf)).select("type").distinct()
+    return grams.extract_collocations(V.chunk_rows(spark, sf)).select("type").distinct()
 
 
 @query("e13_totals_by_order", _GN + " SELECT CAST(len(string_split(type, '_')) AS INTEGER) AS n, CAST(sum(count) AS BIGINT) AS count FROM gn GROUP BY 1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, running
+
 SENTENCE = r"[^.!?]+[.!?]*"
 TOKEN = r"\p{L}+|[0-9]+|[^\p{L}0-9\s]"
 CONTENT, FUNCTIONAL = ("noun", "verb", "adjective"), ("particle",)
@@ -75,30 +77,72 @@ def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("sentence_id", "position", (end - F.length(F.regexp_replace("m", r"^\s+", ""))).alias("begin"), end.alias("end"))
 
 
+def _tokens_of(text: Column) -> Column:
+    """The tokens of a sentence: lower-cased form, class, characters, and the characters that it and the space before it take."""
+
+    def token(m: Column) -> Column:
+        orth = F.regexp_replace(m, r"^\s+", "")
+        return bound(orth, lambda x: F.struct(F.lower(x).alias("base"), _class(x).alias("pos"), F.length(x).alias("size"), F.length(m).alias("room")))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"\s*(?:{TOKEN})"), F.lit(0)), token)
+
+
+def _class(orth: Column) -> Column:
+    n = F.length(orth)
+    word = F.when(n <= 3, "particle").when(n % 3 == 0, "verb").when(n % 3 == 1, "noun").otherwise("adjective")
+    return F.when(orth.rlike(r"^\p{L}"), word).when(orth.rlike("^[0-9]"), "noun").otherwise("symbol")
+
+
+def chunk_array(text: Column) -> Column:
+    """The chunks of a sentence in order. A chunk ends at a particle or symbol, or with the sentence. begin and end count the characters of tokens alone, from and to
+    those of the sentence's text. Nothing leaves the row: ends are found by position, and chunks are slices between them."""
+
+    def made(t: Column, upto: Column, reach: Column) -> Column:
+        last = F.size(t) - 1
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.get(t, i)["pos"].isin("particle", "symbol"))
+
+        def chunk(stops: Column, b: Column, k: Column) -> Column:
+            a = F.when(k == 0, F.lit(0)).otherwise(F.get(stops, k - 1) + 1)
+            closing = F.get(t, b)["pos"].isin("particle", "symbol")
+            head = F.when(closing, b - 1).otherwise(b)  # the last content token
+            some, tail = head >= a, F.get(t, b)["pos"] == "particle"
+            n = F.size(stops)
+            link = F.when(k == n - 1, -1).when((k % 3 == 0) & (k + 2 < n), k + 2).otherwise(k + 1)
+
+            def first(ends_: Column, size: str, i: Column) -> Column:
+                return F.get(ends_, i) - F.get(t, i)[size]
+
+            fields = {
+                "chunk_id": k, "link": link,
+                "head_string": F.when(some, F.array_join(F.transform(F.slice(t, a + 1, head - a + 1), lambda x: x["base"]), "")),
+                "head_pos": F.when(some, F.get(t, head)["pos"]),
+                "head_begin": F.when(some, first(upto, "size", a)), "head_end": F.when(some, F.get(upto, head)),
+                "head_from": F.when(some, first(reach, "size", a)), "head_to": F.when(some, F.get(reach, head)),
+                "tail_string": F.when(tail, F.get(t, b)["base"]), "tail_pos": F.when(tail, F.get(t, b)["pos"]),
+                "tail_begin": F.when(tail, first(upto, "size", b)), "tail_end": F.when(tail, F.get(upto, b)),
+                "tail_from": F.when(tail, first(reach, "size", b)), "tail_to": F.when(tail, F.get(reach, b)),
+                "n_tokens": (b - a + 1).cast("long"),
+            }
+            return F.struct(*[v.alias(name) for name, v in fields.items()])
+
+        return bound(ends, lambda stops: F.transform(stops, lambda b, k: chunk(stops, b, k)))
+
+    def placed(t: Column) -> Column:
+        sums = lambda f: running(F.transform(t, lambda x: x[f]))
+        return bound(sums("size"), lambda upto: bound(sums("room"), lambda reach: made(t, upto, reach)))
+
+    return bound(_tokens_of(text), lambda t: F.when(F.size(t) > 0, placed(t)))
+
+
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sentence_id, source_id, genre, cs): a row for each sentence with its chunks, without a shuffle."""
+    s = sentences(spark, sf_dir)
+    return s.select("sentence_id", "source_id", "genre", chunk_array(F.col("text")).alias("cs")).where("cs IS NOT NULL")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps and islands inside a sentence: a chunk ends at a particle or symbol."""
-    t = tokens(spark, sf_dir)
-    in_order = Window.partitionBy("sentence_id").orderBy("position")
-    ends = F.when(F.col("pos_1").isin("particle", "symbol"), 1).otherwise(0)
-    t = t.withColumn("chunk_id", F.coalesce(F.sum(ends).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    t = t.withColumn("end", F.sum(F.length("orth")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.length("orth"))
-    content = F.col("pos_1").isin(*CONTENT)
-    head = F.sort_array(F.collect_list(F.when(content, F.struct("position", "orth_base", "pos_1", "begin", "end"))))
-    tail = F.max(F.when(F.col("pos_1") == "particle", F.struct("position", "orth_base", "pos_1", "begin", "end")))
-    c = t.groupBy("sentence_id", "source_id", "genre", "chunk_id").agg(head.alias("h"), tail.alias("t"), F.count("*").alias("n_tokens"))
-    n = F.count("*").over(Window.partitionBy("sentence_id"))
-    c = c.withColumn("n", n)
-    link = F.when(F.col("chunk_id") == F.col("n") - 1, -1).when((F.col("chunk_id") % 3 == 0) & (F.col("chunk_id") + 2 < F.col("n")), F.col("chunk_id") + 2).otherwise(F.col("chunk_id") + 1)
-    some = F.size("h") > 0
-    return c.select(
-        "sentence_id", "source_id", "genre", F.col("chunk_id").cast("int").alias("chunk_id"), link.cast("int").alias("link"),
-        F.when(some, F.array_join(F.transform("h", lambda x: x["orth_base"]), "")).alias("head_string"),
-        F.when(some, F.element_at(F.col("h"), -1)["pos_1"]).alias("head_pos"),
-        F.when(some, F.element_at(F.col("h"), 1)["begin"]).cast("int").alias("head_begin"),
-        F.when(some, F.element_at(F.col("h"), -1)["end"]).cast("int").alias("head_end"),
-        F.col("t.orth_base").alias("tail_string"), F.col("t.pos_1").alias("tail_pos"),
-        F.col("t.begin").cast("int").alias("tail_begin"), F.col("t.end").cast("int").alias("tail_end"), "n_tokens",
-    )
+    """A row for each chunk."""
+    return chunk_rows(spark, sf_dir).select("sentence_id", "source_id", "genre", F.explode("cs").alias("c")).select("sentence_id", "source_id", "genre", "c.*").drop("head_from", "head_to", "tail_from", "tail_to")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,12 +202,11 @@ chunks AS MATERIALIZED (
   FROM (SELECT *, count(*) OVER (PARTITION BY sentence_id) AS n FROM chunks0)),
 cparts AS MATERIALIZED (
   SELECT *, list_filter([{'string': head_string, 'pos': head_pos, 'begin': head_begin, 'end': head_end}, {'string': tail_string, 'pos': tail_pos, 'begin': tail_begin, 'end': tail_end}], lambda x: x.string IS NOT NULL) AS parts FROM chunks),
-paths AS (
-  SELECT a.sentence_id, a.source_id, a.genre, a.chunk_id,
-         list_concat(list_concat(list_concat(list_concat(a.parts, coalesce(b.parts, [])), coalesce(c.parts, [])), coalesce(d.parts, [])), coalesce(f.parts, [])) AS parts
-  FROM cparts a LEFT JOIN cparts b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link
-    LEFT JOIN cparts c ON c.sentence_id = a.sentence_id AND c.chunk_id = b.link LEFT JOIN cparts d ON d.sentence_id = a.sentence_id AND d.chunk_id = c.link
-    LEFT JOIN cparts f ON f.sentence_id = a.sentence_id AND f.chunk_id = d.link),
+paths0 AS MATERIALIZED (SELECT sentence_id, source_id, genre, chunk_id, link, parts FROM cparts),
+paths1 AS MATERIALIZED (SELECT a.sentence_id, a.source_id, a.genre, a.chunk_id, b.link, list_concat(a.parts, coalesce(b.parts, [])) AS parts FROM paths0 a LEFT JOIN cparts b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link),
+paths2 AS MATERIALIZED (SELECT a.sentence_id, a.source_id, a.genre, a.chunk_id, b.link, list_concat(a.parts, coalesce(b.parts, [])) AS parts FROM paths1 a LEFT JOIN cparts b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link),
+paths3 AS MATERIALIZED (SELECT a.sentence_id, a.source_id, a.genre, a.chunk_id, b.link, list_concat(a.parts, coalesce(b.parts, [])) AS parts FROM paths2 a LEFT JOIN cparts b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link),
+paths AS MATERIALIZED (SELECT a.sentence_id, a.source_id, a.genre, a.chunk_id, b.link, list_concat(a.parts, coalesce(b.parts, [])) AS parts FROM paths3 a LEFT JOIN cparts b ON b.sentence_id = a.sentence_id AND b.chunk_id = a.link),
 grams AS MATERIALIZED (
   SELECT sentence_id, source_id, genre, chunk_id, CAST(n AS INTEGER) AS n, parts[1:n] AS parts, array_to_string(list_transform(parts[1:n], lambda x: x.pos), '_') AS type
   FROM paths, unnest(range(1, 5)) AS u(n) WHERE n <= len(parts)),
