@@ -319,17 +319,26 @@ def rests(rooted: DataFrame, texts: DataFrame, own: DataFrame, keep: Scratch) ->
     def prefix(rows):
         # the others must share one of the first size - need + 1 parts, unless they need nothing in common
         least = F.greatest("need", F.lit(1).cast("long"))
-        empty = F.array().cast("array<struct<any:boolean,part:bigint>>")
-        first = F.transform(F.slice("parts", F.lit(1), (F.size("parts") - least + 1).cast("int")), lambda p: F.struct(F.lit(False).alias("any"), p["part"].alias("part")))
-        none = F.array(F.struct(F.lit(True).alias("any"), F.lit(0).cast("long").alias("part")))
-        keys = F.concat(F.when(F.col("need") == 0, none).otherwise(empty), F.when(F.size("parts") > 0, first).otherwise(empty))
-        return rows.withColumn("key", F.explode(keys)).withColumn("p", F.size("parts")).select("c", "main", "node", "root", "n", "most", "w", "p", "key.any", "key.part")
-
-    x = prefix(xs).toDF("c", "main", "x", "rx", "nx", "mx", "wx", "px", "any", "part")
-    y = prefix(ys).drop("main").toDF("c", "y", "ry", "ny", "my", "wy", "py", "any", "part")
+        kind = "array<struct<any:boolean,part:bigint,at:int,before:array<bigint>>>"
+        empty = F.array().cast(kind)
+        rows = rows.withColumn("ids", F.transform("parts", lambda p: p["part"]))
+
+        def key_at(part, i):
+            # what stands before a part tells whether two texts have an earlier one in common
+            return F.struct(F.lit(False).alias("any"), part.alias("part"), i.alias("at"), F.slice("ids", F.lit(1), i).alias("before"))
+
+        first = F.transform(F.slice("ids", F.lit(1), (F.size("ids") - least + 1).cast("int")), key_at)
+        none = F.array(F.struct(F.lit(True), F.lit(0).cast("long"), F.lit(0), F.array().cast("array<bigint>"))).cast(kind)
+        keys = F.concat(F.when(F.col("need") == 0, none).otherwise(empty), F.when(F.size("ids") > 0, first).otherwise(empty))
+        return rows.withColumn("key", F.explode(keys)).withColumn("p", F.size("ids")).select("c", "main", "node", "root", "n", "most", "w", "p", "key.any", "key.part", "key.at", "key.before")
+
+    x = prefix(xs).toDF("c", "main", "x", "rx", "nx", "mx", "wx", "px", "any", "part", "ix", "bx")
+    y = prefix(ys).drop("main").toDF("c", "y", "ry", "ny", "my", "wy", "py", "any", "part", "iy", "by")
     need = F.col("wx") + F.col("wy") - EPS
     apart = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny")
-    reach = (F.least("mx", "my") >= SHARE * (F.col("nx") + F.col("ny")) - EPS) & F.when(F.col("any"), need <= 0).otherwise(F.least("px", "py") >= need)
+    # a pair counts at the first part that it has in common; from there on it has at most as many as the shorter rest
+    earliest = ~F.arrays_overlap("bx", "by") & (F.least(F.col("px") - F.col("ix"), F.col("py") - F.col("iy")) >= need)
+    reach = (F.least("mx", "my") >= SHARE * (F.col("nx") + F.col("ny")) - EPS) & F.when(F.col("any"), need <= 0).otherwise(earliest)
     pairs = x.join(y, ["c", "any", "part"]).where(apart & reach)
     return pairs.select(F.col("y").alias("a"), F.col("x").alias("b")).distinct()
 
@@ -342,7 +351,7 @@ def _once(pairs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def roots(docs: DataFrame) -> DataFrame:
-    """(node, root) of all texts that have a link to another text."""
+    """(node, root, links) of all texts that have a link to another text; links: how many were verified."""
     spark = docs.sparkSession
     with Scratch(spark, "neardup") as keep:
         sketches = keep(sketched(docs).dropDuplicates(["node"]), "sketches")
@@ -376,20 +385,23 @@ def roots(docs: DataFrame) -> DataFrame:
         whole = components(keep(ends.where("a <> b").distinct(), "label-links"), keep).toDF("label", "root")
         nodes = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).distinct()
         nodes = labelled(nodes, known, "node", "label").join(whole, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
-        return stored(nodes, "neardup-roots")
+        ends = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node")))
+        return stored(nodes.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node"), "neardup-roots")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """A row for each of ``docs``: doc_id, class_id (the least doc_id of its class) and class_rows."""
+    """A row for each of ``docs``: doc_id, class_id (the least doc_id of its class), class_rows, and n_links, the verified links of its text to other
+    texts. Every two texts of a class are joined by verified links; those inside a class that were not looked for are not counted."""
     known = nodes(docs).join(roots(docs), "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = stored(known, "neardup-nodes")
     heads = known.groupBy("root").agg(F.min("doc").alias("class_doc"), F.sum("copies").alias("class_rows"))
-    placed = known.join(heads, "root").select("node", "class_doc", "class_rows")
+    placed = known.join(heads, "root").select("node", "class_doc", "class_rows", "links")
     rows = docs.select(key(docs["doc_id"]).alias("d"), F.unhex(F.md5(docs["text"].cast("binary"))).alias("node"))
     return rows.join(placed, "node", "left").select(
         unkey(F.col("d")).alias("doc_id"),
         unkey(F.coalesce("class_doc", "d")).alias("class_id"),
         F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"),
+        F.coalesce("links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 

@@ -681,6 +681,7 @@ def test_links_behind_a_centre_that_is_too_long(spark):
     assert n[1] < neardup.SIMILARITY * n[0] and n[2] < neardup.SIMILARITY * n[0]
     got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["class_id"], r["class_rows"]) for r in got} == {0: (0, 1), 1: (1, 2), 2: (1, 2)}
+    assert {r["doc_id"]: r["n_links"] for r in got} == {0: 0, 1: 1, 2: 1}
 
 
 @given(st.lists(st.integers(0, 9), max_size=14), st.lists(st.integers(0, 9), max_size=14))
