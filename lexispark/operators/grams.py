@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,8 @@ def follow_links(chunks: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
     return _gathered(chunks).select("sentence_id", "source_id", "genre", F.explode(paths).alias("p")).select("sentence_id", "source_id", "genre", "p.chunk_id", "p.path")
 
 
-def part_paths(chunks: DataFrame, max_n: int = 4, max_links: int = MAX_LINKS, min_n: int = 1, span: tuple[str, str] = ("begin", "end")) -> DataFrame:
-    """(sentence_id, source_id, genre, chunk_id, all): the first ``max_n`` parts along the path of each chunk that has ``min_n``. ``span`` names the columns of their places.
+def part_paths(chunks: DataFrame, max_n: int = 4, max_links: int = MAX_LINKS, min_n: int = 1, span: tuple[str, str] = ("begin", "end"), more: Sequence[str] = ()) -> DataFrame:
+    """(sentence_id, source_id, genre, chunk_id, all, more...): the first ``max_n`` parts along the path of each chunk that has ``min_n``. ``span`` names the columns of their places.
     Parts are made once a chunk, and paths of them inside the row, so only they are exploded."""
     rows = _gathered(chunks)
 
@@ -57,7 +59,7 @@ def part_paths(chunks: DataFrame, max_n: int = 4, max_links: int = MAX_LINKS, mi
 
     own = F.transform("cs", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["link"].alias("link"), _parts(c, span).alias("parts")))
     paths = bound(own, lambda p: F.filter(F.transform(p, lambda c: F.struct(c["chunk_id"].alias("chunk_id"), path(p, c).alias("all"))), lambda x: F.size(x["all"]) >= min_n))
-    return rows.select("sentence_id", "source_id", "genre", F.explode(paths).alias("p")).select("sentence_id", "source_id", "genre", "p.chunk_id", "p.all")
+    return rows.select("sentence_id", "source_id", "genre", *more, F.explode(paths).alias("p")).select("sentence_id", "source_id", "genre", "p.chunk_id", "p.all", *more)
 
 
 def extract_collocations(chunks: DataFrame, max_n: int = 4, max_links: int = MAX_LINKS, min_n: int = 1, span: tuple[str, str] = ("begin", "end")) -> DataFrame:

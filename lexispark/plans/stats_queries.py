@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions import paths, text
-from ..operators import aggregates, annotate, collocations, embed, evaluate, readability, register, sampling, search, topics
+from ..operators import aggregates, annotate, collocations, embed, evaluate, readability, register, sampling, scoring, search, topics
 from ..sources import readers, writers
+from ..sources.store import SearchStore, batch_tables
 from . import views as V
 from .corpus_queries import _ENGLISH_SEARCH, _RUNS, _found, genre_norm_table, genre_text, gram_sql, gram_table, node_text, tree_sql
 from .registry import query
@@ -716,3 +717,82 @@ def write_search_tables(spark, sf):
     writers.write_search_tables({"search_gram_1": gram_table(spark, sf, 1)}, folder, {"search_gram_1": "type"})
     return genre_text(spark.read.parquet(f"{folder}/search_gram_1")).select("type", "string_1", "genre", "count")
 
+
+
+def _merged(spark, sf, name, corpora):
+    """A new store into which corpora (conditions on documents) were merged one after another, the first of them twice."""
+    store = SearchStore(spark, _shared_folder(spark, name))
+    for i, fits in enumerate([*corpora, corpora[0]]):
+        s = V.sentences_of(V.read(spark, sf, "documents").where(fits))
+        store.merge(i % len(corpora), batch_tables(V.chunk_rows_of(s), V.tokens_of(s)))
+    return store
+
+
+@query("a11_merge_batches", gram_sql(2) + " SELECT type, string_1, string_2, array_to_string(genre, '.') AS genre, count, sentences_count, sources_count, f_ix, f_xi FROM sg2")
+def merge_batches(spark, sf):
+    """Pairs with their marginals as they are read from a store that took the corpus in three batches."""
+    lang = F.coalesce("lang", F.lit(""))
+    return genre_text(_merged(spark, sf, "store", [lang == "en", lang == "de", ~lang.isin("en", "de")]).search_gram(2))
+
+
+_PATH_GRAMS = _PLACED.split("heads AS (")[0] + """
+pch AS MATERIALIZED (SELECT p.source_id, p.sentence_id, p.chunk_id, p.genre, any_value(c.link) AS link,
+  list_filter([{'s': string_agg(orth_base, '' ORDER BY position) FILTER (pos_1 IN ('noun', 'verb', 'adjective')), 'p': arg_max(pos_1, position) FILTER (pos_1 IN ('noun', 'verb', 'adjective')),
+    'b': min(b) FILTER (pos_1 IN ('noun', 'verb', 'adjective')), 'e': max(e2) FILTER (pos_1 IN ('noun', 'verb', 'adjective'))},
+   {'s': max(orth_base) FILTER (pos_1 = 'particle'), 'p': max(pos_1) FILTER (pos_1 = 'particle'), 'b': max(b) FILTER (pos_1 = 'particle'), 'e': max(e2) FILTER (pos_1 = 'particle')}], lambda x: x.s IS NOT NULL) AS parts
+  FROM placed p JOIN chunks c ON c.sentence_id = p.sentence_id AND c.chunk_id = p.chunk_id GROUP BY ALL),
+walk0 AS MATERIALIZED (SELECT * FROM pch),
+""" + "".join(
+    f"walk{i} AS MATERIALIZED (SELECT a.source_id, a.sentence_id, a.chunk_id, a.genre, x.link, list_concat(a.parts, coalesce(x.parts, [])) AS parts FROM walk{i - 1} a LEFT JOIN pch x ON x.sentence_id = a.sentence_id AND x.chunk_id = a.link),\n" for i in range(1, 5)
+) + """pg AS MATERIALIZED (SELECT source_id, genre, CAST(n AS INTEGER) AS n, array_to_string(list_transform(parts[1:n], lambda x: x.p), '_') AS type,
+  coalesce(parts[1].s, '') AS string_1, CASE WHEN n > 1 THEN parts[2].s ELSE '' END AS string_2, CASE WHEN n > 2 THEN parts[3].s ELSE '' END AS string_3, CASE WHEN n > 3 THEN parts[4].s ELSE '' END AS string_4,
+  array_to_string(list_transform(parts[1:n], lambda x: CAST(CAST(x.b AS INTEGER) AS VARCHAR) || '-' || CAST(CAST(x.e AS INTEGER) AS VARCHAR)), ' ') AS spans FROM walk4, unnest(range(1, 5)) AS u(n) WHERE n <= len(parts)),
+cnt AS MATERIALIZED (SELECT n, type, string_1, string_2, string_3, string_4, genre, count(*) AS c FROM pg WHERE genre[1] IN ('en', 'de', 'fr') GROUP BY ALL),
+summed AS (SELECT *, sum(c) OVER (PARTITION BY n, type, string_1, genre) AS ix, sum(c) OVER (PARTITION BY n, type, CASE n WHEN 2 THEN string_2 ELSE string_3 END, genre) AS xi FROM cnt),
+nt AS (SELECT n, CAST(sum(c) AS DOUBLE) AS f_xx FROM cnt GROUP BY n),
+held AS (SELECT n, type, string_1, string_2, string_3, string_4, CAST(sum(c) AS BIGINT) AS count, CAST(sum(ix) AS DOUBLE) AS ix, CAST(sum(xi) AS DOUBLE) AS xi FROM summed GROUP BY ALL),
+ktot AS (SELECT genre[1] AS g, count(*) AS t FROM tokens WHERE genre[1] IN ('en', 'de', 'fr') GROUP BY 1),
+kby AS (SELECT n, type, string_1, string_2, string_3, string_4, genre[1] AS g, sum(c) AS c FROM cnt GROUP BY ALL),
+krates AS (SELECT h.n, h.type, h.string_1, h.string_2, h.string_3, h.string_4, g, 1e6 * coalesce(c, 0) / t AS freq FROM held h CROSS JOIN ktot LEFT JOIN kby USING (n, type, string_1, string_2, string_3, string_4, g)),
+kfar AS (SELECT *, avg(freq) OVER w AS mean, freq - avg(freq) OVER w AS d FROM krates WINDOW w AS (PARTITION BY n, type, string_1, string_2, string_3, string_4)),
+kreg AS (SELECT n, type, string_1, string_2, string_3, string_4, avg(d) FILTER (g = 'en' AND d * d / mean > 19.675) AS good0, avg(d) FILTER (g IN ('de', 'fr') AND d * d / mean > 19.675) AS bad0, any_value(mean) AS mean FROM kfar GROUP BY ALL),
+kones AS (SELECT string_1 AS s, type AS t, sum(c) AS c FROM cnt WHERE n = 1 GROUP BY ALL),
+items AS (SELECT DISTINCT n, type, string_1, string_2, string_3, string_4 FROM pg WHERE type <> 'verb_verb'),
+vals AS (SELECT i.*, h.count IS NOT NULL AS seen, coalesce(h.count, 0) AS count, CAST(coalesce(h.count, 1) AS DOUBLE) AS f_ii, coalesce(h.ix, a.c, 1) AS f_ix, coalesce(h.xi, b.c, 1) AS f_xi, nt.f_xx, good0, bad0, r.mean
+  FROM items i JOIN nt USING (n) LEFT JOIN held h USING (n, type, string_1, string_2, string_3, string_4) LEFT JOIN kreg r USING (n, type, string_1, string_2, string_3, string_4)
+  LEFT JOIN kones a ON a.s = i.string_1 AND a.t = string_split(i.type, '_')[1]
+  LEFT JOIN kones b ON b.s = (CASE i.n WHEN 2 THEN i.string_2 ELSE i.string_3 END) AND b.t = string_split(i.type, '_')[CASE i.n WHEN 2 THEN 2 ELSE 3 END] WHERE h.count IS NOT NULL OR n > 1),
+judged AS MATERIALIZED (SELECT n, type, string_1, string_2, string_3, string_4, seen, count, CASE WHEN n > 1 THEN round(""" + _MI + ", 6) END AS mi, CASE WHEN n > 1 THEN round(abs((f_ii - f_ix * f_xi / f_xx) / sqrt(f_ii)), 6) END AS t, CASE WHEN n > 1 THEN round(" + _LLR + """, 6) END AS llr,
+  CASE WHEN seen THEN round(round(coalesce(good0, 0), 6), 4) END AS good, CASE WHEN seen THEN round(round(coalesce(bad0, 0), 6), 4) END AS bad, CASE WHEN seen THEN round(round(mean, 6), 4) END AS mean,
+  CASE WHEN good0 >= 0 AND bad0 < 0 THEN true WHEN good0 <= 0 AND bad0 > 0 THEN false END AS verdict FROM vals)
+"""
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("mi", "t", "llr")} | {c: F.round(c, 4) for c in ("good", "bad", "mean")})
+
+
+def _register_store(spark, sf):
+    """The corpora that registers are compared by, merged one after another."""
+    return _merged(spark, sf, "registers", [F.col("lang") == lang for lang in (*GOOD, *BAD)])
+
+
+def _placed_grams(spark, sf):
+    return scoring.placed_grams(V.chunk_rows_of(V.sentences_of(V.read(spark, sf, "documents")), "offset"))
+
+
+@query("h04_score_grams", _PATH_GRAMS + " SELECT * FROM judged")
+def score_grams(spark, sf):
+    """Different grams of one to four parts of all texts, also of those in languages that the stored tables don't hold."""
+    items = _placed_grams(spark, sf).select(*scoring.KEYS).distinct()
+    return _rounded(scoring.score_grams(items, _register_store(spark, sf), GOOD, BAD))
+
+
+@query("h06_score_placed_grams", _PATH_GRAMS + """ SELECT pg.source_id AS text_id, n, type, concat_ws('-', string_1, nullif(string_2, ''), nullif(string_3, ''), nullif(string_4, '')) AS item, spans, seen, count, mi, t, llr, good, bad, mean, verdict
+ FROM pg JOIN judged USING (n, type, string_1, string_2, string_3, string_4)""")
+def score_placed_grams(spark, sf):
+    """All texts against stored tables: each gram where it stands, with the span of each of its parts in the text."""
+    out = _rounded(scoring.score_texts(_placed_grams(spark, sf), _register_store(spark, sf), GOOD, BAD))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["begin"], x["end"])), " ")
+    item = F.concat_ws("-", *[F.nullif(F.col(c), F.lit("")) for c in ("string_1", "string_2", "string_3", "string_4")])
+    return out.select("text_id", "n", "type", item.alias("item"), spans.alias("spans"), "seen", "count", "mi", "t", "llr", "good", "bad", "mean", "verdict")

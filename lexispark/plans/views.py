@@ -31,15 +31,24 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut inside the rows, so no shuffle is needed to number paragraphs and sentences."""
-    d = read(spark, sf_dir, "documents")
+    return sentences_of(read(spark, sf_dir, "documents")).drop("offset")
+
+
+def sentences_of(d: DataFrame) -> DataFrame:
+    """Cut inside the rows, so no shuffle is needed to number paragraphs and sentences. offset: characters before a sentence in the text that the
+    sentences make, with a line end between paragraphs."""
 
     def cut(line: Column) -> Column:
         return F.filter(F.transform(F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
 
     pars = F.filter(F.transform(F.split("text", "\n"), cut), lambda x: F.size(x) > 0)
-    flat = F.flatten(F.transform(pars, lambda ss, i: F.transform(ss, lambda s: F.struct((i + 1).alias("par"), s.alias("text")))))
-    e = d.select("doc_id", "lang", "source", F.posexplode(flat).alias("pos", "s"))
+    flat = F.flatten(F.transform(pars, lambda ss, i: F.transform(ss, lambda s, j: F.struct((i + 1).alias("par"), s.alias("text"), F.when((i > 0) & (j == 0), 1).otherwise(0).alias("step")))))
+
+    def placed(x: Column) -> Column:
+        ends = running(F.transform(x, lambda s: F.length(s["text"]) + s["step"]))
+        return bound(ends, lambda e: F.transform(x, lambda s, i: F.struct(s["par"].alias("par"), s["text"].alias("text"), (F.get(e, i) - F.length(s["text"])).alias("offset"))))
+
+    e = d.select("doc_id", "lang", "source", F.posexplode(bound(flat, placed)).alias("pos", "s"))
     order = F.col("pos") + 1
     length = F.length("s.text")
     return e.select(
@@ -51,11 +60,15 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(length % 7 == 0, F.array(F.lit("speech"))).when(length % 5 == 0, F.array(F.lit("quotation"))).otherwise(F.array().cast("array<string>")).alias("tags"),
         length.alias("length"),
         F.array("lang", "source").alias("genre"),
+        F.col("s.offset").alias("offset"),
     )
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sentences(spark, sf_dir)
+    return tokens_of(sentences(spark, sf_dir))
+
+
+def tokens_of(s: DataFrame) -> DataFrame:
     t = s.select("sentence_id", "source_id", "genre", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("position", "orth"))
     n = F.length("orth")
     number, word = F.col("orth").rlike("^[0-9]"), F.col("orth").rlike(r"^\p{L}")
@@ -136,8 +149,11 @@ def chunk_array(text: Column) -> Column:
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sentence_id, source_id, genre, cs): a row for each sentence with its chunks, without a shuffle."""
-    s = sentences(spark, sf_dir)
-    return s.select("sentence_id", "source_id", "genre", chunk_array(F.col("text")).alias("cs")).where("cs IS NOT NULL")
+    return chunk_rows_of(sentences(spark, sf_dir))
+
+
+def chunk_rows_of(s: DataFrame, *more: str) -> DataFrame:
+    return s.select("sentence_id", "source_id", "genre", chunk_array(F.col("text")).alias("cs"), *more).where("cs IS NOT NULL")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
