@@ -42,6 +42,8 @@ CHARS = 4_000_000
 #: Two texts of n1 and n2 shingles are linked if they match at least this share of n1 + n2.
 SHARE = SIMILARITY / (1 + SIMILARITY)
 EPS = 1e-6
+#: Parts that travel with a key, so that a pair which shares many is met once.
+BEFORE = 4
 
 
 def sketch(texts: pa.Array, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
@@ -324,19 +326,20 @@ def rests(rooted: DataFrame, texts: DataFrame, own: DataFrame, keep: Scratch) ->
         rows = rows.withColumn("ids", F.transform("parts", lambda p: p["part"]))
 
         def key_at(part, i):
-            # what stands before a part tells whether two texts have an earlier one in common
-            return F.struct(F.lit(False).alias("any"), part.alias("part"), i.alias("at"), F.slice("ids", F.lit(1), i).alias("before"))
+            # what stands before a part tells whether two texts have an earlier one in common; the first few parts are the rarest
+            return F.struct(F.lit(False).alias("any"), part.alias("part"), i.alias("at"), F.slice("ids", F.lit(1), F.least(i, F.lit(BEFORE))).alias("before"))
 
         first = F.transform(F.slice("ids", F.lit(1), (F.size("ids") - least + 1).cast("int")), key_at)
         none = F.array(F.struct(F.lit(True), F.lit(0).cast("long"), F.lit(0), F.array().cast("array<bigint>"))).cast(kind)
         keys = F.concat(F.when(F.col("need") == 0, none).otherwise(empty), F.when(F.size("ids") > 0, first).otherwise(empty))
-        return rows.withColumn("key", F.explode(keys)).withColumn("p", F.size("ids")).select("c", "main", "node", "root", "n", "most", "w", "p", "key.any", "key.part", "key.at", "key.before")
+        rows = rows.withColumn("key", F.explode(keys)).withColumn("p", F.size("ids"))
+        return rows.select("c", "main", "node", "root", "n", "most", "w", "p", "key.any", "key.part", "key.at", "key.before")
 
     x = prefix(xs).toDF("c", "main", "x", "rx", "nx", "mx", "wx", "px", "any", "part", "ix", "bx")
     y = prefix(ys).drop("main").toDF("c", "y", "ry", "ny", "my", "wy", "py", "any", "part", "iy", "by")
     need = F.col("wx") + F.col("wy") - EPS
     apart = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & _fits("nx", "ny")
-    # a pair counts at the first part that it has in common; from there on it has at most as many as the shorter rest
+    # a pair counts at the first part that it has in common (at others only if that is none of the first BEFORE); from there on it has at most as many as the shorter rest
     earliest = ~F.arrays_overlap("bx", "by") & (F.least(F.col("px") - F.col("ix"), F.col("py") - F.col("iy")) >= need)
     reach = (F.least("mx", "my") >= SHARE * (F.col("nx") + F.col("ny")) - EPS) & F.when(F.col("any"), need <= 0).otherwise(earliest)
     pairs = x.join(y, ["c", "any", "part"]).where(apart & reach)
