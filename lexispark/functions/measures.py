@@ -35,12 +35,12 @@ def display_frequency(f_ii="f_ii") -> Column:
 
 def log_dice(f_ii: Column | str, f_sum: Column | str, f_xi: Column | str) -> Column:
     """``f_sum``: the total of the counts that share the fixed part."""
-    return 14 + F.log2(2 * _d(f_ii) / (_d(f_sum) + _d(f_xi)))
+    return 14 + F.log2(F.try_divide(2 * _d(f_ii), _d(f_sum) + _d(f_xi)))
 
 
 def t_score(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi", f_xx="f_xx") -> Column:
     ii, ix, xi, xx = map(_d, (f_ii, f_ix, f_xi, f_xx))
-    return _zero_if_unseen(ii, F.abs((ii - ix * xi / xx) / F.sqrt(ii)))
+    return _zero_if_unseen(ii, F.abs(F.try_divide(ii - F.try_divide(ix * xi, xx), F.sqrt(ii))))
 
 
 def chi_sq(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi", f_xx="f_xx") -> Column:
@@ -52,12 +52,12 @@ def chi_sq(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi", f_xx="f_xx") -> Column:
 
 def mi(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi", f_xx="f_xx") -> Column:
     ii, ix, xi, xx = map(_d, (f_ii, f_ix, f_xi, f_xx))
-    return _zero_if_unseen(ii, F.log2(ii * xx / (ix * xi)))
+    return _zero_if_unseen(ii, F.log2(F.try_divide(ii * xx, ix * xi)))
 
 
 def mi_3(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi", f_xx="f_xx") -> Column:
     ii, ix, xi, xx = map(_d, (f_ii, f_ix, f_xi, f_xx))
-    return _zero_if_unseen(ii, F.log2(ii * ii * ii * xx / (ix * xi)))
+    return _zero_if_unseen(ii, F.log2(F.try_divide(ii * ii * ii * xx, ix * xi)))
 
 
 def llr(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi", f_xx="f_xx") -> Column:
@@ -72,7 +72,8 @@ def llr(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi", f_xx="f_xx") -> Column:
 
 
 def min_sensitivity(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi") -> Column:
-    return F.least(_d(f_ii) / _d(f_xi), _d(f_ii) / _d(f_ix))
+    """Null where a marginal is 0."""
+    return F.try_divide(_d(f_ii), F.when(F.least(_d(f_xi), _d(f_ix)) > 0, F.greatest(_d(f_xi), _d(f_ix))))
 
 
 def mi_log_prod(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi", f_xx="f_xx") -> Column:
@@ -80,11 +81,12 @@ def mi_log_prod(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi", f_xx="f_xx") -> Column:
 
 
 def dice(f_ii="f_ii", f_ix="f_ix", f_xi="f_xi") -> Column:
-    return _zero_if_unseen(f_ii, 2 * _d(f_ii) / (_d(f_ix) + _d(f_xi)))
+    return _zero_if_unseen(f_ii, F.try_divide(2 * _d(f_ii), _d(f_ix) + _d(f_xi)))
 
 
 def relative_frequency(f_ii="f_ii", f_ix="f_ix") -> Column:
-    return 100 * _d(f_ii) / _d(f_ix)
+    """Null where the marginal is 0."""
+    return F.try_divide(100 * _d(f_ii), _d(f_ix))
 
 
 def weighted_frequency(tf: Column | str) -> Column:
@@ -92,15 +94,16 @@ def weighted_frequency(tf: Column | str) -> Column:
 
 
 def idf(n: Column | str, df: Column | str) -> Column:
-    return F.log(_d(n) / _d(df))
+    """Null where no text has the item."""
+    return F.log(F.try_divide(_d(n), _d(df)))
 
 
 def tf_idf_ln(tf: Column | str, n: Column | str, df: Column | str) -> Column:
-    return F.when(_d(tf) == 0, F.lit(0.0)).otherwise((1 + F.log(_d(tf))) * F.log(_d(n) / _d(df)))
+    return F.when(_d(tf) == 0, F.lit(0.0)).otherwise((1 + F.log(_d(tf))) * F.log(F.try_divide(_d(n), _d(df))))
 
 
 def tf_idf_log10(tf: Column | str, n: Column | str, df: Column | str) -> Column:
-    return F.when(_d(tf) == 0, F.lit(0.0)).otherwise((1 + F.log(_d(tf))) * F.log10(_d(n) / _d(df)))
+    return F.when(_d(tf) == 0, F.lit(0.0)).otherwise((1 + F.log(_d(tf))) * F.log10(F.try_divide(_d(n), _d(df))))
 
 
 def compact_number(x: Column | str) -> Column:

@@ -53,14 +53,10 @@ COMMAS, COMMAS_AS_PUBLISHED = r"、，,", r"、＋,"
 CLASSES = {"hiragana": HIRAGANA, "kanji": KANJI, "katakana": KATAKANA, "romaji": ROMAJI}
 
 
-def _java(chars: str) -> str:
-    return chars.replace("A-z", r"A-Z\[\\\]^_`a-z")
-
-
 def char_class_counts(text: Column, mode: str = "fixed") -> dict[str, Column]:
     """Characters of each script, commas, and all others as symbols. ``mode='reference'`` counts the full-width plus as comma."""
     commas = COMMAS_AS_PUBLISHED if mode == "reference" else COMMAS
-    counts = {n: F.regexp_count(text, F.lit(f"[{_java(c)}]")) for n, c in CLASSES.items()}
+    counts = {n: F.regexp_count(text, F.lit(f"[{c}]")) for n, c in CLASSES.items()}
     counts["commas"] = F.regexp_count(text, F.lit(f"[{commas}]"))
     known = sum(counts.values(), F.lit(0))
     return counts | {"symbols": F.length(text) - known}
@@ -80,9 +76,9 @@ def char_runs(text: Column) -> dict[str, Column]:
 
 
 def shibasaki_grade(hiragana: Column, characters: Column, chunks: Column) -> Column:
-    """School year of a text from its hiragana count, mean characters and chunks of a sentence."""
+    """School year of a text from its hiragana count, mean characters and chunks of a sentence; null for a text without characters."""
     # Published coefficients.
-    h, ch, cu = hiragana.cast("double") / characters, characters.cast("double"), chunks.cast("double")
+    h, ch, cu = F.try_divide(hiragana.cast("double"), characters), characters.cast("double"), chunks.cast("double")
     terms = (
         (3.601e-4, h), (-8.772e-2, h * h), (6.651, h), (3.679, cu), (3.142e-4, h * h * ch), (-3.986e-4, h * h * cu),
         (-3.207e-4, h * ch * ch), (-3.109e-2, h * ch), (-7.968e-3, h * cu * cu), (3.468e-3, h * ch * cu),

@@ -66,10 +66,10 @@ def normalize_text(spark, sf):
 
 
 @query("b05_sanitize_path", r"""
-SELECT doc_id, array_to_string(list_filter(list_transform(list_filter([lang, source, substr(text, 1, 12)], lambda x: x <> ''), lambda x: regexp_replace(x, '[^\p{L}\p{N}]+', '_', 'g')), lambda x: strlen(x) < 256), '.') AS path FROM documents""")
+SELECT doc_id, array_to_string(list_filter(list_transform(list_filter([lang, source, text], lambda x: x <> ''), lambda x: regexp_replace(x, '[^\p{L}\p{N}]+', '_', 'g')), lambda x: strlen(x) < 256), '.') AS path FROM documents""")
 def sanitize_path(spark, sf):
     d = V.read(spark, sf, "documents")
-    return d.select("doc_id", paths.path_string(paths.sanitize_path(F.array("lang", "source", F.substring("text", 1, 12)))).alias("path"))
+    return d.select("doc_id", paths.path_string(paths.sanitize_path(F.array("lang", "source", "text"))).alias("path"))
 
 
 @query("b05_sanitize_line_path", r"""

@@ -374,21 +374,25 @@ def sentence_statistics(spark, sf):
     return statistics(spark, sf).select("sentence_id", "source_id", *[F.col(c).cast("long").alias(c) for c in ("length", "tokens", "gairai", "chunks", "predicates", "chunk_depth", "link_dist")])
 
 
-@query("i09_shibasaki_grade", """SELECT doc_id, round(-147.9 + 3.601e-4 * h - 8.772e-2 * h * h + 6.651 * h + 3.679 * cu + 3.142e-4 * h * h * ch - 3.986e-4 * h * h * cu - 3.207e-4 * h * ch * ch - 3.109e-2 * h * ch - 7.968e-3 * h * cu * cu + 3.468e-3 * h * ch * cu, 4) AS grade
- FROM (SELECT doc_id, CAST(n_chars % 50 AS DOUBLE) / (n_chars % 40 + 1) AS h, CAST(n_chars % 40 + 1 AS DOUBLE) AS ch, CAST(n_chars % 7 AS DOUBLE) AS cu FROM documents)""", with_views=False)
+@query("i09_shibasaki_grade", r""", m AS (SELECT source_id, CAST(sum(length(text) - length(regexp_replace(text, '[\x{3041}-\x{309F}]', '', 'g'))) AS DOUBLE) AS hira, CAST(round(avg(length)) AS DOUBLE) AS ch, CAST(round(avg(k)) AS DOUBLE) AS cu
+  FROM sentences JOIN (SELECT sentence_id, count(*) AS k FROM chunks GROUP BY 1) USING (sentence_id) GROUP BY 1)
+ SELECT source_id, round(-147.9 + 3.601e-4 * h - 8.772e-2 * h * h + 6.651 * h + 3.679 * cu + 3.142e-4 * h * h * ch - 3.986e-4 * h * h * cu - 3.207e-4 * h * ch * ch - 3.109e-2 * h * ch - 7.968e-3 * h * cu * cu + 3.468e-3 * h * ch * cu, 4) AS grade
+ FROM (SELECT source_id, hira / ch AS h, ch, cu FROM m)""")
 def shibasaki_grade(spark, sf):
-    n = F.col("n_chars")
-    return V.read(spark, sf, "documents").select("doc_id", F.round(text.shibasaki_grade(n % 50, n % 40 + 1, n % 7), 4).alias("grade"))
+    """Hiragana of a text, and the whole mean characters and chunks of its sentences."""
+    s = V.sentences(spark, sf).select("source_id", "length", text.char_class_counts(F.col("text"))["hiragana"].alias("hiragana"), F.size(V.chunk_array(F.col("text"))).alias("chunks"))
+    m = s.groupBy("source_id").agg(F.sum("hiragana").alias("h"), F.round(F.avg("length")).alias("ch"), F.round(F.avg("chunks")).alias("cu"))
+    return m.select("source_id", F.round(text.shibasaki_grade(F.col("h"), F.col("ch"), F.col("cu")), 4).alias("grade"))
 
 
 @query("i10_tateishi_score", _RUNS + r""", m AS (SELECT *, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: x <> '')) AS n, length(text) - length(regexp_replace(text, '[\x{3001}\x{ff0c},]', '', 'g')) AS commas FROM shares)
- SELECT doc_id, round(-1.34 * length(text) / n - 3.87 * commas / n - 109.1 + 0.06 * romaji_percent + 0.25 * hiragana_percent - 0.19 * kanji_percent - 0.61 * katakana_percent
+ SELECT doc_id, round(-1.34 * length(text) / nullif(n, 0) - 3.87 * commas / nullif(n, 0) - 109.1 + 0.06 * romaji_percent + 0.25 * hiragana_percent - 0.19 * kanji_percent - 0.61 * katakana_percent
    - 1.35 * romaji_mean + 7.52 * hiragana_mean + 22.10 * kanji_mean + 5.30 * katakana_mean, 4) AS ease FROM m""")
 def tateishi_score(spark, sf):
     t = F.col("text")
     n = F.size(F.filter(F.split(t, "[.!?]+"), lambda x: x != ""))
     c = text.char_class_counts(t)
-    return V.read(spark, sf, "documents").select("doc_id", F.round(text.tateishi_score(F.length(t) / n, c["commas"], n, text.char_runs(t)), 4).alias("ease"))
+    return V.read(spark, sf, "documents").select("doc_id", F.round(text.tateishi_score(F.try_divide(F.length(t), n), c["commas"], n, text.char_runs(t)), 4).alias("ease"))
 
 
 @query("i11_document_readability", _DEPTH + " SELECT source_id, count(*) AS sentences, round(sum(length) / count(*), 6) AS length, round(sum(tokens) / count(*), 6) AS tokens, round(sum(chunks) / count(*), 6) AS chunks, round(sum(predicates) / count(*), 6) AS predicates, round(sum(gairai) / sum(tokens), 6) AS gairai, round(sum(chunk_depth) / sum(chunks), 6) AS chunk_depth, round(sum(link_dist) / greatest(sum(chunks) - 1, 1), 6) AS link_dist FROM st GROUP BY 1")
@@ -483,14 +487,8 @@ def sample_docs_replaced(spark, sf):
 
 
 @query("k03_infer_corpus_type", """SELECT doc_id, CASE WHEN regexp_matches(d, '(?i)wiki') THEN 'wikipedia' WHEN regexp_matches(d, '(?i)(newspaper|mai|yomi)') THEN 'newspaper' WHEN regexp_matches(d, '(?i)(LB|OB|OC|OL|OM|OP|OT|OV|OW|OY|PB|PM|PN|VARIABLE)') THEN 'bccwj' WHEN regexp_matches(d, '(?i)ldcc') THEN 'livedoor' ELSE 'default' END AS kind
- FROM (SELECT doc_id, source || '-' || substr(text, 1, 12) AS d FROM documents)""", with_views=False)
-def infer_corpus_type(spark, sf):
-    return V.read(spark, sf, "documents").select("doc_id", sampling.infer_corpus_type(F.concat_ws("-", "source", F.substring("text", 1, 12))).alias("kind"))
-
-
-@query("k03_infer_whole_corpus_type", """SELECT doc_id, CASE WHEN regexp_matches(d, '(?i)wiki') THEN 'wikipedia' WHEN regexp_matches(d, '(?i)(newspaper|mai|yomi)') THEN 'newspaper' WHEN regexp_matches(d, '(?i)(LB|OB|OC|OL|OM|OP|OT|OV|OW|OY|PB|PM|PN|VARIABLE)') THEN 'bccwj' WHEN regexp_matches(d, '(?i)ldcc') THEN 'livedoor' ELSE 'default' END AS kind
  FROM (SELECT doc_id, source || '-' || text AS d FROM documents)""", with_views=False)
-def infer_whole_corpus_type(spark, sf):
+def infer_corpus_type(spark, sf):
     """Whole texts as folder names."""
     return V.read(spark, sf, "documents").select("doc_id", sampling.infer_corpus_type(F.concat_ws("-", "source", "text")).alias("kind"))
 
@@ -555,7 +553,9 @@ def train_topics(spark, sf):
 @query("m02_infer_topics")
 def infer_topics(spark, sf):
     docs = _words(spark, sf)
-    return topics.infer_topics(topics.train_topics(docs), docs, "source_id").select("source_id", "rank", "topic")
+    folder = _shared_folder(spark, "topics")
+    topics.save_topics(topics.train_topics(docs), folder)
+    return topics.infer_topics(topics.load_topics(folder), docs, "source_id").select("source_id", "rank", "topic")
 
 
 # What the parsers of named formats make of lines that Spark derives from the documents.

@@ -1,5 +1,7 @@
 """Hand-made cases: measures, paths, text rules, chunks, register scores, evaluation, sources and sinks."""
 
+import collections
+import hashlib
 import math
 
 import pytest
@@ -201,6 +203,38 @@ def test_topics_are_trained_whole(spark, sf, monkeypatch):
     assert len(best) == docs.count() and {r["n"] for r in best} == {5}
 
 
+def test_topics_that_were_planted(spark, tmp_path):
+    """Two sets of words: texts with one strongest topic are of one set, also with the saved models and in a second run."""
+    rows = [(i, [f"{'ab'[i % 2]}{(i * 7 + j * j) % 12}" for j in range(30)]) for i in range(240)]
+    docs = spark.createDataFrame(rows, "source_id long, words array<string>").coalesce(1)
+    models = topics.train_topics(docs, topics=8)
+    topics.save_topics(models, f"file://{tmp_path}/m")
+    best = lambda m: {r["source_id"]: r["topic"] for r in topics.infer_topics(m, docs, "source_id", n=1).collect()}
+    got = best(models)
+    assert got == best(topics.load_topics(f"file://{tmp_path}/m")) == best(topics.train_topics(docs, topics=8))
+    sets = collections.Counter((t, i % 2) for i, t in got.items())
+    assert sum(max(sets[t, 0], sets[t, 1]) for t in range(8)) >= 0.9 * len(rows)
+
+
+def test_measures_of_empty_margins(spark):
+    """Cells that divide by zero give null, not an error."""
+    rows = spark.createDataFrame([(1, 0, 4, 10), (1, 3, 0, 10), (0, 0, 0, 0), (1, 2, 3, 0)], "f_ii long, f_ix long, f_xi long, f_xx long")
+    got = M.all_measures(rows).collect()
+    assert [r["min_sensitivity"] for r in got] == [None, None, None, pytest.approx(1 / 3)] and [r["rf"] for r in got][:3] == [None, pytest.approx(100 / 3), None]
+    assert one(spark, M.idf("n", "df"), n=3, df=0) is None and one(spark, text.shibasaki_grade(F.col("h"), F.col("c"), F.col("k")), h=1, c=0, k=2) is None
+
+
+@pytest.mark.parametrize("ratio", [0.001, 0.3, 0.999, 1.0])
+def test_threshold_sample_is_the_sorted_one(spark, ratio, monkeypatch):
+    docs = spark.range(500).select((F.col("id") % 450).alias("source_id"), "id")
+    k = int(ratio * 500) + 1
+    order = sorted((hashlib.md5(f"7{r['source_id']}".encode()).hexdigest(), r["source_id"]) for r in docs.collect())[:k]
+    for digits in (1, 4):
+        monkeypatch.setattr(sampling, "DIGITS", digits)
+        df = sampling.sample_docs(docs, ratio, "source_id", "7")
+        assert sorted(r["source_id"] for r in df.collect()) == sorted(i for _, i in order)
+
+
 def test_topics_of_rare_words(spark):
     docs = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["a", "c"]), (3, [])], "source_id long, words array<string>")
     models = topics.train_topics(docs, topics=2, iterations=2)
