@@ -120,9 +120,9 @@ def calibrate(scored: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """keep..., host, path, rule, verdict, and the model's ``ratio`` and ``cut`` (null where it has none)."""
     host, path = split_url(pages[url])
-    rows = pages.select(*[pages[c] for c in keep], host.alias("host"), path.alias("path"), fold(F.coalesce(pages[url], F.lit(""))).alias("folded"), F.contains(F.coalesce(pages[url], F.lit("")), F.lit("://")).alias("_split"))
+    rows = pages.select(*[pages[c] for c in keep], host.alias("host"), path.alias("path"), fold(F.coalesce(pages[url], F.lit(""))).alias("folded"))
     rows = rows.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    judged = rows.select(*keep, "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.allow").alias("good"), "folded", "_split")
+    judged = rows.select(*keep, "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.allow").alias("good"), "folded")
     ruled = judged.where(F.col("good").isNotNull()).select("folded", "good")
     model = stored(train(ruled), "urlmodel")
     different = stored(judged.select("folded").where("folded <> ''").distinct(), "urls")
@@ -131,6 +131,6 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url: str = "url",
     scored = stored(score(different.repartition(tasks), model), "urlscores")
     all_rows = judged.join(scored, "folded", "left").withColumn("one", F.lit(1))
     cut = calibrate(ruled.join(held_out(ruled, tasks), "folded"))
-    verdict = F.when(F.coalesce(F.col("good"), ~F.col("_split")), "allow").when(F.col("good").isNotNull(), "block")
+    verdict = F.when(F.col("good"), "allow").when(F.col("good").isNotNull(), "block")
     verdict = verdict.when(F.col("ratio").isNull() | F.col("cut").isNull() | (F.col("ratio") >= F.col("cut")), "allow").otherwise("block")
     return all_rows.join(F.broadcast(cut), "one", "left").select(*keep, "host", "path", "rule", verdict.alias("verdict"), "ratio", "cut")
