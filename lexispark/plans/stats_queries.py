@@ -521,6 +521,19 @@ def similar_strings(spark, sf):
     return embed.similar_strings(V.tokens(spark, sf).select("lemma").distinct(), "lemma", "ththe", 0.6).withColumn("similarity", F.round("similarity", 6))
 
 
+_ACCENTS = "àâäçèéêëîïôöùûüÿñáíóúßœæ"  # one ASCII capital each, since DuckDB counts edits in bytes and lemmas are in lower case
+_PLAIN = "translate({0}, '" + _ACCENTS + "', '" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[: len(_ACCENTS)] + "')"
+
+
+@query("l05_similar_string_pairs", ", v AS (SELECT lemma, " + _PLAIN.format("lemma") + """ AS p, length(lemma) AS n, row_number() OVER (ORDER BY lemma) - 1 AS number FROM (SELECT DISTINCT lemma FROM tokens))
+ SELECT q.lemma AS query, v.lemma AS item, round(1 - levenshtein(q.p, v.p) / greatest(q.n, v.n), 6) AS similarity FROM v q JOIN v ON v.n BETWEEN 0.75 * q.n AND q.n / 0.75 WHERE q.number % 50 = 0 AND 1 - levenshtein(q.p, v.p) / greatest(q.n, v.n) >= 0.75 - 1e-9""")
+def similar_string_pairs(spark, sf):
+    """Every fiftieth lemma against the whole vocabulary."""
+    v = V.tokens(spark, sf).select("lemma").distinct()
+    q = sampling.numbered(v, "number", "lemma").where("number % 50 = 0")
+    return embed.similar_pairs(q, v, "lemma", 0.75).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("l06_vector_of", "SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings WHERE vec_id = 7", with_views=False)
 def vector_of(spark, sf):
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))

@@ -3,12 +3,13 @@
 import collections
 import hashlib
 import math
+import random
 
 import pytest
 from lexispark import catalog
 from lexispark.functions import measures as M
 from lexispark.functions import paths, text
-from lexispark.operators import annotate, evaluate, readability, register, sampling, textprep, topics
+from lexispark.operators import annotate, embed, evaluate, readability, register, sampling, textprep, topics
 from lexispark.plans import stats_queries
 from lexispark.sources import readers, writers
 from lexispark.streaming import append
@@ -275,3 +276,22 @@ def test_scored_items_stand_at_their_places(spark, sf):
         else:
             head, tail = r["item"].rsplit("-", 1)
             assert found.endswith(tail) and "".join(found.removesuffix(tail).split()) == head
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("accuracy", [0.5, 0.75, 0.9])
+def test_similar_pairs_are_all_found(spark, accuracy):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 11))) for _ in range(160)} | {"", "a", "abababababababababab", "babababababababababab"}
+    df = spark.createDataFrame([(w,) for w in [*words, "a", None]], "w string")
+    got = {(r["query"], r["item"]): r["similarity"] for r in embed.similar_pairs(df, df, "w", accuracy).collect()}
+    want = {(a, b): 1 - edits(a, b) / max(len(a), len(b)) for a in words for b in words if a and b}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= accuracy - 1e-9})
