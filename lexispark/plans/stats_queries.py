@@ -590,18 +590,34 @@ def parse_header_docs(spark, sf):
     return out.select("basename", "title", F.col("year").cast("long").alias("year"), F.size("body").cast("long").alias("lines"))
 
 
-@query("a04_parse_tagged_docs", """SELECT source AS path, basename, CAST(CASE WHEN doc_id % 2 = 0 THEN 1990 + doc_id % 10 ELSE 2000 + doc_id % 10 END AS INTEGER) AS year, title, paragraphs FROM (
+_TAGGED = """SELECT source AS path, basename, CAST(CASE WHEN doc_id % 2 = 0 THEN 1990 + doc_id % 10 ELSE 2000 + doc_id % 10 END AS INTEGER) AS year, title, paragraphs FROM (
  SELECT doc_id, source, substr('ABCDEFGHIJ', CAST(doc_id % 10 + 1 AS INTEGER), 1) AS x, (CASE WHEN doc_id % 2 = 0 THEN '9' ELSE '0' END) || (doc_id % 10) || lpad(CAST(doc_id AS VARCHAR), 7, '0') AS basename, 'doc-' || doc_id AS title,
- CAST(len(list_filter(string_split(text, chr(10)), lambda x: x <> '' AND NOT contains(x, '＼'))) AS BIGINT) AS paragraphs FROM documents) WHERE paragraphs > 0""", with_views=False)
-def parse_tagged_docs(spark, sf):
+ CAST(len(list_filter(string_split(text, chr(10)), lambda x: x <> '' AND NOT contains(x, '＼'))) AS BIGINT) AS paragraphs FROM documents) WHERE paragraphs > 0"""
+
+
+def _tagged(spark, sf):
+    """(path, doc_id, tagged): the lines of a record for each document."""
     d = V.read(spark, sf, "documents")
     body = F.transform(F.filter(F.split("text", "\n"), lambda x: (x != "") & ~F.contains(x, F.lit("＼"))), lambda x: F.concat(F.lit("＼Ｔ２＼"), x))
     id_ = F.concat(F.when(F.col("doc_id") % 2 == 0, "9").otherwise("0"), (F.col("doc_id") % 10).cast("string"), F.lpad(F.col("doc_id").cast("string"), 7, "0"))
     tagged = F.concat(F.array(F.concat(F.lit("＼ＩＤ＼"), F.col("doc_id").cast("string")), F.concat(F.lit("＼Ｃ０＼"), id_), F.concat(F.lit("＼Ｔ１＼doc-"), F.col("doc_id").cast("string"))), body)
-    lines = d.select(F.col("source").alias("path"), "doc_id", F.posexplode(tagged).alias("i", "line")).select("path", (F.col("doc_id") * 1_000_000 + F.col("i")).alias("line_no"), "line")
+    return d.select(F.col("source").alias("path"), "doc_id", tagged.alias("tagged"))
+
+
+@query("a04_parse_tagged_docs", _TAGGED, with_views=False)
+def parse_tagged_docs(spark, sf):
+    lines = _tagged(spark, sf).select("path", "doc_id", F.posexplode("tagged").alias("i", "line")).select("path", (F.col("doc_id") * 1_000_000 + F.col("i")).alias("line_no"), "line")
     return readers.parse_tagged_docs(lines).select("path", "basename", "year", "title", F.size("paragraphs").cast("long").alias("paragraphs"))
 
 
+@query("a04_read_tagged_records", _TAGGED, with_views=False)
+def read_tagged_records(spark, sf):
+    """The same records written to files, a folder for each source, and read in splits that end at records."""
+    folder = _shared_folder(spark, "tagged")
+    _tagged(spark, sf).select("path", F.array_join("tagged", "\n").alias("value")).write.partitionBy("path").text(folder)
+    return readers.parse_tagged_records(readers.read_tagged_records(spark, folder)).select("path", "basename", "year", "title", F.size("paragraphs").cast("long").alias("paragraphs"))
+
+
 @query("a05_level_list", "SELECT word, CAST(max(level) AS INTEGER) AS level FROM (SELECT lower(orth) AS word, length(orth) % 4 + 1 AS level FROM tokens UNION ALL SELECT reverse(orth), length(orth) % 4 + 1 FROM tokens) GROUP BY 1")
 def level_list(spark, sf):
     t = V.tokens(spark, sf)

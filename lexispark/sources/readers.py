@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
+
 GENRES = ("genre", "subgenre", "subsubgenre", "subsubsubgenre")
 SOURCES_SCHEMA = "title string, author string, year string, basename string, " + ", ".join(f"{g} string" for g in GENRES) + ", permission string"
 
@@ -98,11 +100,52 @@ def parse_tagged_docs(lines: DataFrame) -> DataFrame:
     last = lambda kind: F.max_by(F.when(F.col("tag").isin(*TAGS[kind]), F.col("value")), F.when(F.col("tag").isin(*TAGS[kind]), F.col("line_no")))
     paragraph = F.when(F.col("tag").isin(*TAGS["paragraph"]), F.struct("line_no", "value"))
     r = live.groupBy("path", "record").agg(last("genre").alias("code"), last("id").alias("basename"), F.coalesce(last("title"), F.lit("")).alias("title"), F.sort_array(F.collect_list(paragraph)).alias("p"))
+    return _with_year_and_genre(r.where(F.size("p") > 0)).select("path", "record", "basename", "year", "title", "genre", F.transform("p", lambda x: x["value"]).alias("paragraphs"))
+
+
+def _with_year_and_genre(r: DataFrame) -> DataFrame:
+    """Adds year, from the basename, and genre, from the section's code."""
     digits = F.translate(F.when(F.length("basename") == 9, F.substring("basename", 1, 2)).otherwise(F.substring("basename", 3, 2)), "０１２３４５６７８９", "0123456789")
     year = F.concat(F.when(digits.startswith("9"), "19").otherwise("20"), digits)
     known = F.create_map(*[x for k, v in section_names().items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     genre = F.coalesce(F.try_element_at(known, F.col("code")), F.array(F.lit("新聞")))
-    return r.where(F.size("p") > 0).withColumn("year", year).select("path", "record", "basename", F.expr("try_cast(year AS int)").alias("year"), "title", genre.alias("genre"), F.transform("p", lambda x: x["value"]).alias("paragraphs"))
+    return r.withColumn("year", year).withColumns({"year": F.expr("try_cast(year AS int)"), "genre": genre})
+
+
+RECORD = "＼ＩＤ＼"
+
+
+def read_tagged_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): a row for each record of tagged newspaper files. The source itself cuts at the ＩＤ tags, so a file of any size is read in many splits,
+    each of which ends at a record; a folder's partition column `path`, or else the file's name, tells records of different files apart."""
+    rows = spark.read.option("lineSep", f"\n{RECORD}").text(path)
+    name = F.col("path") if "path" in rows.columns else F.col("_metadata.file_path")
+    # the first record of a file still has its tag
+    return rows.select(name.alias("path"), F.when(F.startswith("value", F.lit(RECORD)), F.substring("value", len(RECORD) + 1, 2**31 - 1)).otherwise(F.col("value")).alias("text"))
+
+
+def parse_tagged_records(records: DataFrame) -> DataFrame:
+    """(path, basename, year, title, genre, paragraphs) of records, each inside its row: the rules of parse_tagged_docs without its windows. Lines before the first
+    tag of a file count as a record."""
+    line = "^＼([^＼]+)＼(.+)$"
+
+    def tagged(text: Column) -> Column:
+        found = F.transform(F.split(text, "\r?\n"), lambda x: F.struct(F.regexp_extract(x, line, 1).alias("tag"), F.regexp_extract(x, line, 2).alias("value")))
+        return F.filter(found, lambda x: x["tag"] != "")
+
+    def live(lines: Column) -> Column:
+        stop = F.array_position(F.transform(lines, lambda x: x["value"]), NOTICE).cast("int")
+        return F.when(stop > 0, F.slice(lines, F.lit(1), stop - 1)).otherwise(lines)
+
+    def values(lines: Column, kind: str) -> Column:
+        return F.transform(F.filter(lines, lambda x: x["tag"].isin(*TAGS[kind])), lambda x: x["value"])
+
+    def fields(x: Column) -> Column:
+        last = lambda kind: F.try_element_at(values(x, kind), F.lit(-1))
+        return F.struct(last("genre").alias("code"), last("id").alias("basename"), F.coalesce(last("title"), F.lit("")).alias("title"), values(x, "paragraph").alias("paragraphs"))
+
+    r = records.select("path", bound(bound(tagged(F.col("text")), live), fields).alias("r")).where(F.size("r.paragraphs") > 0).select("path", "r.*")
+    return _with_year_and_genre(r).select("path", "basename", "year", "title", "genre", "paragraphs")
 
 
 def read_frequency_list(spark: SparkSession, path: str) -> DataFrame:

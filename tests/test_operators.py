@@ -168,6 +168,32 @@ def test_tagged_docs(spark):
     assert [(r["record"], r["year"], r["genre"][-1], len(r["paragraphs"])) for r in got] == [(1, 1993, "国際", 2), (3, 2005, "国土・都市計画", 1)]
 
 
+def test_tagged_files_of_many_splits(spark, tmp_path):
+    """Records read in splits are those of the lines in order, whatever the size of splits; no window or shuffle is in the plan."""
+    lines = []
+    for i in range(120):
+        own = [f"＼ＩＤ＼{i}", "＼ＡＤ＼０７", f"＼Ｃ０＼9{i % 10}{i:07}", f"＼Ｔ１＼題{i}", f"＼Ｔ１＼題{i}b", *[f"＼Ｔ２＼段{i}-{j}" for j in range(i % 4)], "no tag"]
+        if i % 7 == 3:
+            own[5:5] = ["＼Ｔ２＼【現在著作権交渉中の為、本文は表示できません】"]
+        lines.append((f"f{i % 2}", own))
+    rows, n = [], 0
+    for name in ("f0", "f1"):
+        mine = [x for f, own in lines if f == name for x in own]
+        (tmp_path / f"path={name}").mkdir()
+        (tmp_path / f"path={name}" / "part.txt").write_text("\n".join(mine) + "\n")
+        rows += [(name, n := n + 1, x) for x in mine]
+    want = readers.parse_tagged_docs(spark.createDataFrame(rows, "path string, line_no int, line string")).drop("record")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("300b", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        read = readers.read_tagged_records(spark, str(tmp_path))
+        got = readers.parse_tagged_records(read)
+        assert (read.rdd.getNumPartitions() > 20) == (size == "300b")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() > 60
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_append_and_stream(spark, tmp_path):
     sources = spark.createDataFrame([(1, "a")], "source_id long, basename string")
     children = spark.createDataFrame([("a", "t")], "basename string, text string")
