@@ -675,7 +675,9 @@ def type_chunks(spark, sf):
 
 @query("b13_chunk_strings")
 def chunk_strings(spark, sf):
-    return _chunk_arrays(spark, sf).select("sentence_id", "chunk_id", annotate.display_string(F.lit("verb"), F.col("tokens")).alias("text"))
+    """Each chunk as one word, cut as the class asks that its typing found."""
+    c = _chunk_arrays(spark, sf).withColumn("t", annotate.type_chunks(F.col("tokens")))
+    return c.select("sentence_id", "chunk_id", annotate.display_string(F.coalesce("t.head_pos", "t.tail_pos"), F.col("tokens")).alias("text"))
 
 
 ELEMENT = "struct<id:int,link:int,head_string:string,head_tags:array<string>,head_pos:string,tail_string:string,tail_tags:array<string>,tail_pos:string,tokens:array<struct<pos:string,orth:string,lemma:string,c_form:string>>>"

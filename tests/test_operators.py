@@ -109,6 +109,14 @@ def test_type_chunks(spark):
     assert got[1]["head_string"] == "続けられる" and got[1]["tail_string"] is None
 
 
+def test_display_strings_by_class(spark):
+    verb = [tok("verb", "続け", "続ける", c_form="未然形-一般"), tok("auxiliary-verb", "られ", "られる", c_form="連用形-一般"), tok("auxiliary-verb", "た", "た", c_type="助動詞-タ")]
+    rows = [("verb", verb), ("noun", verb), ("noun", [tok("noun", "先生"), tok("particle", "に"), tok("symbol", "。")]), ("particle", [tok("particle", "に")])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, pos string, t {TOKEN}")
+    got = [r["x"] for r in df.orderBy("i").select(annotate.display_string(F.col("pos"), F.col("t")).alias("x")).collect()]
+    assert got == ["続けられる", "続ける", "先生", "に"]
+
+
 def test_merge_chunks(spark):
     e = "struct<id:int,link:int,head_string:string,head_tags:array<string>,head_pos:string,tail_string:string,tail_tags:array<string>,tail_pos:string,tokens:array<struct<pos:string,orth:string,lemma:string,c_form:string>>>"
     a = (0, 1, "先生", [], "noun", "に", [], "particle", [("noun", "先生", "先生", "*"), ("particle", "に", "に", "*")])
