@@ -28,17 +28,31 @@ def fulltext_search(sentences: DataFrame, sources: DataFrame, query: str, genre:
     holds, by which rows are dropped before the pattern is tried. ``genre`` is a path query, ``words`` a word query on the path.
 
     Only sources that fit reach the join; context is made before rows are dropped, from the sentence's own paragraph."""
+    near = sentence_context(sentences.drop("genre").join(fitting_sources(sources, genre, words), "source_id"))
+    hit = F.col("text").rlike(query)
+    if literal:
+        hit = F.contains(F.col("text"), F.lit(literal)) & hit
+    return match_rows(filter_tags(near.where(hit), remove_tags), query)
+
+
+def indexed_search(index, sources: DataFrame, query: str, genre: str | None = None, remove_tags: Sequence[str] = (), words: str | None = None) -> DataFrame:
+    """The rows of `fulltext_search` over the sentences of a `PostingIndex`: only sentences that hold the grams of the pattern are tried."""
+    found = index.matching(query).drop("genre").join(fitting_sources(sources, genre, words), "source_id")
+    return match_rows(filter_tags(found, remove_tags), query)
+
+
+def fitting_sources(sources: DataFrame, genre: str | None = None, words: str | None = None) -> DataFrame:
+    """Sources under a path query and a word query on the path."""
     own = sources
     if genre:
         own = own.where(path_match(F.col("genre_path"), genre))
     if words:
         own = own.where(word_query(F.col("genre"), words))
-    own = own.select("source_id", "title", "author", "year", "genre_path")
-    near = sentence_context(sentences.drop("genre").join(own, "source_id"))
-    hit = F.col("text").rlike(query)
-    if literal:
-        hit = F.contains(F.col("text"), F.lit(literal)) & hit
-    found = filter_tags(near.where(hit), remove_tags)
+    return own.select("source_id", "title", "author", "year", "genre_path")
+
+
+def match_rows(found: DataFrame, query: str) -> DataFrame:
+    """One row for each match in sentences with context."""
     rows = found.select("sentence_id", "source_id", "title", "author", "year", "genre_path", "before_text", "after_text", F.posexplode(kwic(F.col("text"), query)).alias("match", "m"))
     return rows.select(
         "sentence_id", "source_id", "title", "author", "year", "genre_path", "match",

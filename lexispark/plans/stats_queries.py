@@ -11,9 +11,10 @@ from ..functions import measures as M
 from ..functions import paths, text
 from ..operators import aggregates, annotate, collocations, embed, evaluate, readability, register, sampling, scoring, search, topics
 from ..sources import readers, writers
+from ..sources.postings import PostingIndex, index_tables
 from ..sources.store import SearchStore, batch_tables
 from . import views as V
-from .corpus_queries import _ENGLISH_SEARCH, _RUNS, _found, genre_norm_table, genre_text, gram_sql, gram_table, node_text, tree_sql
+from .corpus_queries import _ENGLISH_SEARCH, _RUNS, _found, _search_sql, genre_norm_table, genre_text, gram_sql, gram_table, node_text, tree_sql
 from .registry import query
 
 #: Brand and type pairs, aggregated: the table that measures run on.
@@ -750,6 +751,43 @@ def write_search_tables(spark, sf):
 
 
 
+_INDEXES: dict = {}
+
+
+def _posting_index(spark, sf):
+    """The index of the corpus, merged in two batches; built once for each session and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        index = PostingIndex(spark, _shared_folder(spark, "postings"))
+        docs = V.read(spark, sf, "documents")
+        for i in (0, 1):
+            index.merge(i, index_tables(V.sentences_of(docs.where(F.pmod("doc_id", F.lit(2)) == i)).drop("offset")))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+@query("c01_indexed_search", _ENGLISH_SEARCH)
+def indexed_search(spark, sf):
+    f = search.indexed_search(_posting_index(spark, sf), V.sources(spark, sf), "thha[a-z]+", genre="en.*", remove_tags=["speech"])
+    return f.withColumn("match", F.col("match").cast("long"))
+
+
+_EITHER = r"\b(?:w?[aeiou]thha|nthha|tion)[a-z]*"
+
+
+@query("c03_indexed_boolean_path", _search_sql(_EITHER, "list_contains(s.genre, 'en') AND NOT list_contains(s.genre, 'src0')") + "SELECT * FROM found")
+def indexed_boolean_path(spark, sf):
+    f = search.indexed_search(_posting_index(spark, sf), V.sources(spark, sf), _EITHER, words="en & !src0")
+    return f.withColumn("match", F.col("match").cast("long"))
+
+
+@query("c13_indexed_context_search", "SELECT sentence_id, source_id, text, title, author, year, genre_path FROM sentences JOIN sources USING (source_id) WHERE regexp_matches(text, 'thha.*tion')")
+def indexed_context_search(spark, sf):
+    hits = _posting_index(spark, sf).matching("thha.*tion").select("sentence_id", "source_id", "text")
+    return hits.join(search.fitting_sources(V.sources(spark, sf)), "source_id").select("sentence_id", "source_id", "text", "title", "author", "year", "genre_path")
+
+
+
 def _merged(spark, sf, name, corpora):
     """A new store into which corpora (conditions on documents) were merged one after another, the first of them twice."""
     store = SearchStore(spark, _shared_folder(spark, name))
