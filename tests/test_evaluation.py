@@ -68,3 +68,15 @@ def test_no_name_is_defined_twice():
     for path in [*(ROOT / "lexispark").rglob("*.py"), *ROOT.glob("*.py")]:
         names = collections.Counter(n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef | ast.ClassDef))
         assert not [n for n, k in names.items() if k > 1], path
+
+
+def test_curve_over_thresholds(spark, odd):
+    rows = []
+    for t in range(0, 101, 10):
+        for _, n, truth, _ in joined():
+            good, bad = (None, None) if n is None else (n % 97 - 48, 48 - n % 89)
+            apart = n is not None and abs(good - bad) >= t
+            rows.append((t, truth, True if apart and good >= 0 > bad else False if apart and good <= 0 < bad else None))
+    want = brute(rows)
+    assert both(spark, odd, "j06_precision_recall_curve", "threshold") == want
+    assert len(want) == 11 and want[0] != want[100]
