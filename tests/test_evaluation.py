@@ -80,3 +80,14 @@ def test_curve_over_thresholds(spark, odd):
     want = brute(rows)
     assert both(spark, odd, "j06_precision_recall_curve", "threshold") == want
     assert len(want) == 11 and want[0] != want[100]
+
+
+def test_scores_of_variations(spark, odd):
+    rows = []
+    for lang, n, truth, toxic in joined():
+        guess = length_guess(n)
+        english = None if lang is None else lang == "en"
+        rows += [("length", truth, guess), ("lang", truth, english), ("toxic", truth, toxic), ("toxic_by_length", toxic, guess), ("self", truth, truth)]
+    want = brute(rows)
+    assert both(spark, odd, "j07_all_variations", "variation") == want
+    assert want["self"][5:] == (1.0,) * 4
