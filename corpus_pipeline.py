@@ -31,7 +31,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # idle workers lie beside the other stages, so they keep few words
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), chars=4_000_000, words=150_000)
 
 
 STAGES = [

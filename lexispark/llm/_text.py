@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -86,6 +87,18 @@ class Scratch:
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int):
+    """Inside the block, batches that go to Python have ``rows`` rows at most, fewer where the session asks for fewer. For tables that are written inside it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Deal:
     """Joins on ``keys`` of which some may hold a large part of all rows. A key with more than 1 / ``SHARES`` of the rows is dealt
     over as many salts as it has such shares, so no task gets much more than a share; there are at most ``SHARES`` such keys,

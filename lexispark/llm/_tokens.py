@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 #: Bytes encoded at once, whatever the size of the batches.
 CHARS = 12_000_000
-#: Words kept by a worker, some 160 MB; all are forgotten when there are more.
+#: Words kept by a worker, some 400 MB; all are forgotten when there are more.
 CACHE = 800_000
 #: Ends each piece where a vocabulary marks the ends of words; texts that hold it go to the library.
 LAST = "\x7f"
@@ -40,7 +40,8 @@ def byte_letters() -> dict[str, int]:
 class Words:
     """Numbered words and their ids, one after another in an array that grows. Number 0 is a word without ids of its own."""
 
-    def __init__(self, encode, safe) -> None:
+    def __init__(self, encode, safe, most: int = CACHE) -> None:
+        self.most = most
         self.encode, self.safe = encode, safe  # list of words -> lists of ids; whether a word's ids are always the same
         self.clear()
 
@@ -51,7 +52,7 @@ class Words:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         new = [w for w in words if w not in self.number]
-        if len(self.number) + len(new) > CACHE:
+        if len(self.number) + len(new) > self.most:
             self.clear()
             new = words
         if new:
@@ -92,8 +93,8 @@ class ByWord:
     what ``many`` gets; texts that hold one of ``added`` go whole, as do those with a word whose ids depend on its neighbours.
     """
 
-    def __init__(self, whole, many, before: str, safe, *added: str) -> None:
-        self.whole, self.before, self.added, self.words = whole, before, added, Words(many, safe)
+    def __init__(self, whole, many, before: str, safe, *added: str, most: int = CACHE) -> None:
+        self.whole, self.before, self.added, self.words = whole, before, added, Words(many, safe, most)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and n + 1 offsets."""
@@ -181,18 +182,18 @@ def _alone(word: str) -> bool:
     return bool(word.strip(" ")) and not (word.lstrip(" ")[:1].isspace() or word[-1].isspace())
 
 
-_ENCODERS: dict[str, ByWord] = {}
+_ENCODERS: dict[tuple[str, int], ByWord] = {}
 
 
-def encoder(path: str) -> ByWord:
-    """One for each Python worker and file."""
-    if path not in _ENCODERS:
+def encoder(path: str, most: int = CACHE) -> ByWord:
+    """One for each Python worker, file and number of words that are kept."""
+    if (path, most) not in _ENCODERS:
         pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back at once
         m = Merges(path)
         if not (m.by_byte or m.by_word):
             raise ValueError(f"{path}: neither a byte-level vocabulary nor one with word ends")
-        _ENCODERS[path] = ByWord(m.whole, m.many, "" if m.by_word else " ", _alone, *m.added)
-    return _ENCODERS[path]
+        _ENCODERS[path, most] = ByWord(m.whole, m.many, "" if m.by_word else " ", _alone, *m.added, most=most)
+    return _ENCODERS[path, most]
 
 
 def ranges(texts: pa.Array, chars: int = CHARS):

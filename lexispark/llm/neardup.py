@@ -31,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shingles import mix, shingles
-from ._text import Deal, Scratch, key, maybe_in, stored, unkey
+from ._text import Deal, Scratch, batches, key, maybe_in, stored, unkey
 from ._tokens import ranges
 
 #: At the least similarity two texts have a sketch in common with a chance of 0.8 ** KEPT; that they share none of all is one of 3e-8. With fewer
 #: kept shingles, texts that only share a passage would meet in most buckets.
 SIMILARITY, SKETCHES, KEPT = 0.8, 24, 3
 NEAR = 16
-CHARS = 4_000_000
+#: Bytes of text hashed at once: numpy holds some fifty times as many. Rows of a batch between Spark and Python, on either side of which it lies twice.
+CHARS, BATCH_ROWS = 1_000_000, 1_000
 #: Two texts of n1 and n2 shingles are linked if they match at least this share of n1 + n2.
 SHARE = SIMILARITY / (1 + SIMILARITY)
 EPS = 1e-6
@@ -356,7 +357,7 @@ def _once(pairs: DataFrame, done: DataFrame) -> DataFrame:
 def roots(docs: DataFrame) -> DataFrame:
     """(node, root, links) of all texts that have a link to another text; links: how many were verified."""
     spark = docs.sparkSession
-    with Scratch(spark, "neardup") as keep:
+    with batches(spark, BATCH_ROWS), Scratch(spark, "neardup") as keep:
         sketches = keep(sketched(docs).dropDuplicates(["node"]), "sketches")
         rows = sketches.select("node", "n", F.explode("sketches").alias("bucket"))
         sizes = keep(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tokens import encoder, ranges
+from ._tokens import CACHE, CHARS, encoder, ranges
 from ._text import stored
 
 SIZE, END_ID = 1024, 2
@@ -31,14 +31,15 @@ STOPS = 64
 ROWS_A_SALT, LEAST_SALTS = 50_000, 32
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut from the end into pieces of ``size``."""
+def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, chars: int = CHARS, words: int = CACHE) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut from the end into pieces of ``size``.
+    ``chars`` are encoded at once and ``words`` kept, which changes time and memory only."""
     end = np.array([end_id], "<u4")
 
     def cut(frames):
-        enc = encoder(path)
+        enc = encoder(path, words)
         for batch in frames:
-            for lo, hi in ranges(batch.column(1)):
+            for lo, hi in ranges(batch.column(1), chars):
                 ids, at = enc.encode(batch.column(1).slice(lo, hi - lo))
                 rows: list[list] = [[], [], [], [], []]
                 for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -49,6 +50,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
                             col.append(value)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                pa.default_memory_pool().release_unused()  # an idle worker stays for a minute
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -166,8 +168,9 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
             taken[length] += times
             at += length
         first += times
-    rows = [(length, lo, seq, at) for length, own in slots.items() for lo, seq, at in own]
-    table = spark.createDataFrame(rows or [(0, 0, 0, 0)], "length long, lo long, seq long, at long")
+    rows = [(length, lo, seq, at) for length, own in slots.items() for lo, seq, at in own] or [(0, 0, 0, 0)]
+    # from Arrow, since a list of rows would start Python workers of its own, which then stay for a minute
+    table = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["length", "lo", "seq", "at"]))
     lists = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "seq", "at"))).alias("_slots"))
     # the last slot that begins at or before the rank, by bisection
     steps = max(1, max((len(x) for x in slots.values()), default=1).bit_length())
@@ -182,5 +185,5 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
     return at.select(*cut.columns, (F.col("_slot.seq") + F.col("_rank") - F.col("_slot.lo")).alias("sequence_id"), F.col("_slot.at").alias("offset"))
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    return place(pieces(docs, path, size, end_id), size)
+def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, chars: int = CHARS, words: int = CACHE) -> DataFrame:
+    return place(pieces(docs, path, size, end_id, chars, words), size)
