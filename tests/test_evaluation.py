@@ -23,6 +23,13 @@ def odd(spark, tmp_path_factory):
     return at
 
 
+def stored(spark, at, docs, labels):
+    """The same two tables of other rows, in the folder ``at``."""
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
 def both(spark, at, name, key):
     """The rows of a query by ``key``, which are also those of its SQL."""
     con = duckdb.connect()
@@ -82,6 +89,15 @@ def test_curve_over_thresholds(spark, odd):
     assert len(want) == 11 and want[0] != want[100]
 
 
+def test_curve_rounds_halves_like_its_sql(spark, tmp_path):
+    """323 of 640 is 0.5046875, whose millionfold is below the half as a double."""
+    docs = [(i, "x", "en", "s", 60) for i in range(640)]
+    at = stored(spark, tmp_path, docs, [(i, int(i < 323), 0) for i in range(640)])
+    got = both(spark, at, "j06_precision_recall_curve", "threshold")
+    assert got[0] == got[20] == (323, 317, 0, 0, 0, 0.504687, 1.0, 0.67082, 0.56018)
+    assert got[30] == (0, 0, 0, 0, 640, 0.0, 0.0, None, None)
+
+
 def test_scores_of_variations(spark, odd):
     rows = []
     for lang, n, truth, toxic in joined():
