@@ -107,3 +107,29 @@ def test_scores_of_variations(spark, odd):
     want = brute(rows)
     assert both(spark, odd, "j07_all_variations", "variation") == want
     assert want["self"][5:] == (1.0,) * 4
+
+
+def test_variations_of_texts_with_several_labels(spark, tmp_path):
+    """The SQL joins labels twice for the toxic variations, so k labels of a text count k * k times there."""
+    docs = [(1, "en", 1500), (2, "en", 1200), (2, "en", 1200), (3, "de", 900), (4, "fr", 100), (5, None, None), (None, "en", 2000)]
+    labels = [(1, 1, 0), (1, 0, 1), (1, 0, 1), (2, 1, 1), (2, 1, 1), (2, None, 1), (2, 0, None), (3, 0, 0), (5, 1, 0), (5, 1, 1), (None, 1, 1), (None, 0, 0)]
+    at = stored(spark, tmp_path, [(i, "x", lang, "s", n) for i, lang, n in docs], labels)
+    known = collections.defaultdict(list)
+    for i, q, t in labels:
+        if i is not None:
+            known[i].append((q if q is None else q == 1, t if t is None else t == 1))
+    rows = []
+    for i, lang, n in docs:
+        guess, english, mine = length_guess(n), None if lang is None else lang == "en", known.get(i, [(None, None)])
+        for truth, _ in mine:
+            rows += [("length", truth, guess), ("lang", truth, english), ("self", truth, truth)]
+            rows += [r for _, toxic in mine for r in (("toxic", truth, toxic), ("toxic_by_length", toxic, guess))]
+    want = brute(rows)
+    assert both(spark, at, "j07_all_variations", "variation") == want
+    assert sum(want["length"][:5]) == 16 and sum(want["toxic"][:5]) == 48
+
+
+def test_variations_round_halves_like_their_sql(spark, tmp_path):
+    at = stored(spark, tmp_path, [(i, "x", "en", "s", 1500) for i in range(640)], [(i, int(i < 323), int(i < 41)) for i in range(640)])
+    got = both(spark, at, "j07_all_variations", "variation")
+    assert (got["length"][5], got["toxic_by_length"][5]) == (0.504687, 0.064062)
