@@ -126,7 +126,8 @@ def generated(words: DataFrame) -> DataFrame:
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): all pairs of words that differ by exactly one edit, in both orders. words: (word, n, r), stored."""
-    met = maybe_in(generated(words), words, "r").join(words.select("r", F.col("word").alias("near"), F.col("n").alias("near_n")), "r")
+    # a merge join: Spark sizes the generated rows as the vocabulary, a hundredth of what they are, and would broadcast them
+    met = maybe_in(generated(words), words, "r").hint("merge").join(words.select("r", F.col("word").alias("near"), F.col("n").alias("near_n")), "r")
     return met.where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)).drop("r")
 
 
@@ -144,7 +145,9 @@ def roots(forms: DataFrame, keep: Scratch) -> DataFrame:
     now = keep(forms.where("form IS NOT NULL").select("word", F.col("form").alias("at")), "jumps")
     arrived = None
     while True:
-        after = keep(now.join(now.toDF("at", "far"), "at", "left") if arrived is None else now.join(now.toDF("at", "far").unionByName(arrived.toDF("at", "far")), "at", "left"), "jumps")
+        ends = now.toDF("at", "far")
+        ends = ends if arrived is None else ends.unionByName(arrived.toDF("at", "far"))
+        after = keep(now.hint("merge").join(ends, "at", "left"), "jumps")  # stored tables are sized by their compressed files
         done = after.where("far IS NULL").select("word", "at")
         arrived = done if arrived is None else arrived.unionByName(done)
         now = after.where("far IS NOT NULL").select("word", F.col("far").alias("at"))
@@ -158,4 +161,4 @@ def groups(docs: DataFrame) -> DataFrame:
         words = keep(with_reduced(keep(vocabulary(docs), "vocabulary")), "words")
         forms = stored(with_forms(words), "spelling-forms")
         found = stored(roots(forms, keep), "spelling-roots")
-    return forms.join(found, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.hint("merge").join(found, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 pytest.importorskip("lexispark.llm")
 import compare  # noqa: E402
-from lexispark.llm import classifier, merkle, quality, queries, spelling  # noqa: E402
+from lexispark.llm import _text, classifier, merkle, quality, queries, spelling  # noqa: E402
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LONG = " ".join(f"Word{i % 700} the" for i in range(60_000))
@@ -169,6 +169,17 @@ def test_neighbours_hold_every_edit(ws):
             assert spelling.reduced(spelling._symbols(pa.array([x]))[0][None, :])[0] in have
 
 
+def test_generated_rows_are_not_broadcast(spark):
+    words = _text.stored(spelling.with_reduced(spark.createDataFrame([(w, 3) for w in ("abcde", "abcdx", "other")], "word string, n long")), "words")
+    near = spelling.near_words(words)
+    plan = near._jdf.queryExecution().sparkPlan().toString()
+    joins = [x.strip(" :+-") for x in plan.splitlines() if "Join [" in x]
+    assert [j.split()[0] for j in joins] == ["SortMergeJoin", "BroadcastHashJoin"] and "BuildRight" in joins[1]  # the second is the filter of fixed size
+    whole = spelling.groups(spark.createDataFrame([(1, "abcde " * 9 + "abcdx " * 3)], "doc_id long, text string"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in whole and "BroadcastHashJoin" not in whole
+    assert sorted((r["word"], r["near"]) for r in near.collect()) == [("abcde", "abcdx"), ("abcdx", "abcde")]
+
+
 @pytest.mark.parametrize("name", ["op12_spelling_variants", "op13_merkle_manifest"])
 def test_equal_to_sql(spark, sf, name):
     compare.same(spark, compare.duck(sf), sf, queries.queries()[name], queries.oracle_sql()[name])
